@@ -22,37 +22,38 @@ def is_iso_date(text: Column) -> Column:
     return text.rlike("^" + ISO_DATE + r"\z")
 
 
-def ordinal_suffix(day: Column) -> Column:
-    teen = day.between(11, 13)
-    return (
-        F.when((day % 10 == 1) & ~teen, "st")
-        .when((day % 10 == 2) & ~teen, "nd")
-        .when((day % 10 == 3) & ~teen, "rd")
-        .otherwise("th")
-    )
+def date_spellings(iso: Column) -> Column:
+    """Spellings of an ISO day; numeric day/month orders only where the day exceeds 12.
 
+    The year is spelt as a number, without leading zeros.
+    """
+    day = F.when(is_iso_date(iso), iso.try_cast("date"))
 
-def date_spellings(iso: Column) -> Column:
-    """Spellings of an ISO day; numeric day/month orders only where the day exceeds 12."""
-    valid = F.when(is_iso_date(iso), iso)
-    yyyy, mm, dd = (F.substring(valid, *span) for span in ((1, 4), (6, 2), (9, 2)))
-    # The year is spelt as a number, without leading zeros.
-    yyyy = yyyy.cast("int").cast("string")
-    day = dd.cast("int")
-    d = day.cast("string")
-    month = F.element_at(F.array(*[F.lit(name) for name in MONTHS]), mm.cast("int"))
-    short = F.substring(month, 1, 3)
-    nth = F.concat(d, ordinal_suffix(day))
-    spelt = [F.concat_ws(mark, yyyy, mm, dd) for mark in ("-", "/", ".")]
-    for name in (month, short):
-        spelt += [F.concat_ws(" ", number, name, yyyy) for number in (d, dd)]
-        spelt += [F.concat_ws(" ", name, number, yyyy) for number in (d, dd)]
-    spelt += [F.concat_ws(" ", month, nth, yyyy), F.concat_ws(" ", nth, month, yyyy)]
-    numeric = [
-        F.concat_ws(mark, *pair, yyyy) for mark in ("/", "-") for pair in ((dd, mm), (mm, dd))
-    ]
-    both = F.array(*spelt, *numeric)
-    return F.when(valid.isNotNull(), F.when(day > 12, both).otherwise(F.array(*spelt)))
+    def spelt(pattern: str) -> Column:
+        return F.date_format(day, pattern)
+
+    number = F.day(day)
+    teen = number.between(11, 13)
+    suffix = (
+        F.when((number % 10 == 1) & ~teen, "st")
+        .when((number % 10 == 2) & ~teen, "nd")
+        .when((number % 10 == 3) & ~teen, "rd")
+        .otherwise("th")
+    )
+    nth = F.concat(number.cast("string"), suffix)
+    # The accepted spellings.
+    worded = (
+        "y-MM-dd", "y/MM/dd", "y.MM.dd",
+        "d MMMM y", "dd MMMM y", "MMMM d y", "MMMM dd y",
+        "d MMM y", "dd MMM y", "MMM d y", "MMM dd y",
+    )
+    numeric = ("dd/MM/y", "MM/dd/y", "dd-MM-y", "MM-dd-y")
+    always = [spelt(pattern) for pattern in worded]
+    always += [F.concat_ws(" ", spelt("MMMM"), nth, spelt("y")), F.concat_ws(" ", nth, spelt("MMMM y"))]
+    late = F.when(number > 12, F.array(*[spelt(pattern) for pattern in numeric])).otherwise(
+        F.array().cast("array<string>")
+    )
+    return F.when(day.isNotNull(), F.concat(F.array(*always), late))
 
 
 def search_spellings(iso: Column) -> Column:
@@ -61,62 +62,45 @@ def search_spellings(iso: Column) -> Column:
     return F.array_distinct(forms)
 
 
+_FULL = "|".join(name.lower() for name in MONTHS)
+_SHORT = "|".join(name[:3].lower() for name in MONTHS)
+_NTH = "(?:[23]?1st|2?2nd|2?3rd|2?[4-9]th|1[0-9]th|[23]0th)"
+_YEAR = r"[1-9]\d{3}"
+_DAY_FIRST = rf"(?:\d{{1,2}} (?:{_FULL}|{_SHORT})|{_NTH} (?:{_FULL})) {_YEAR}"
+_MONTH_FIRST = rf"(?:(?:{_FULL}|{_SHORT}) \d{{1,2}}|(?:{_FULL}) {_NTH}) {_YEAR}"
+
+
 def day_mentions(search: Column) -> Column:
-    """ISO days whose spelling occurs somewhere in a text in search form.
+    """ISO days from the year 1000 on whose spelling occurs in a text in search form.
 
-    The inverse of :func:`date_spellings`: every spelling is found at its own
-    start, overlaps included, and turned back into the day it spells.
+    The inverse of :func:`date_spellings`: every spelling is found at its own start,
+    overlaps included, and turned back into the day it spells.
     """
-    names = "|".join(f"{m.lower()}|{m[:3].lower()}" for m in MONTHS)
-    nothing = F.lit(None).cast("string")
 
     def spans(pattern: str) -> Column:
         return F.regexp_extract_all(search, F.lit(f"(?=({pattern}))"), 1)
 
     def iso(year: Column, month: Column, day: Column) -> Column:
-        made = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-        return F.when(is_iso_date(made), made)
-
-    def month_number(name: Column) -> Column:
-        shorts = F.array(*[F.lit(m[:3].lower()) for m in MONTHS])
-        return F.array_position(shorts, F.substring(name, 1, 3)).cast("string")
+        return F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
 
     def worded(span: Column) -> Column:
-        parts = F.split(span, " ")
-        first, second, year = (F.get(parts, F.lit(i)) for i in range(3))
-        day_first = first.rlike(r"^\d")
-        day = F.when(day_first, first).otherwise(second)
-        name = F.when(day_first, second).otherwise(first)
-        number = F.regexp_extract(day, r"^\d+", 0)
-        suffix = F.regexp_extract(day, r"[a-z]+$", 0)
-        plain = suffix == ""
-        # Ordinals are spelt with the full month name and without padding.
-        full = F.array(*[F.lit(m.lower()) for m in MONTHS])
-        nth = (
-            (suffix == ordinal_suffix(number.cast("int")))
-            & ~number.startswith("0")
-            & F.array_contains(full, name)
-        )
-        return F.when(plain | nth, iso(year, month_number(name), number))
-
-    def numeric(span: Column) -> list[Column]:
-        a, b, year = (F.get(F.split(span, " "), F.lit(i)) for i in range(3))
-        day_month = F.when(a > "12", iso(year, b, a))
-        month_day = F.when(b > "12", iso(year, a, b))
-        return [F.coalesce(day_month, month_day, nothing)]
-
-    worded_spans = F.concat(
-        spans(rf"\d{{1,2}}(?:st|nd|rd|th)? (?:{names}) [1-9]\d{{3}}"),
-        spans(rf"(?:{names}) \d{{1,2}}(?:st|nd|rd|th)? [1-9]\d{{3}}"),
-    )
+        name = F.regexp_extract(span, "[a-z]{3}", 0)
+        month = (F.instr(F.lit(_SHORT), name) + 3) / 4
+        day = F.regexp_extract(span, "(?:^| )(\\d{1,2})(?:[a-z]{2})? ", 1)
+        return iso(F.right(span, F.lit(4)), month.cast("int").cast("string"), day)
+
+    def numeric(span: Column) -> Column:
+        a, b = F.substring(span, 1, 2), F.substring(span, 4, 2)
+        first_is_day = a > "12"
+        month, day = F.when(first_is_day, b).otherwise(a), F.when(first_is_day, a).otherwise(b)
+        # Both below thirteen is ambiguous, which the accepted spellings exclude.
+        return F.when(first_is_day | (b > "12"), iso(F.right(span, F.lit(4)), month, day))
+
     found = F.concat(
-        F.transform(
-            spans(r"[1-9]\d{3} \d{2} \d{2}"),
-            lambda s: iso(F.substring(s, 1, 4), F.substring(s, 6, 2), F.substring(s, 9, 2)),
-        ),
-        F.transform(worded_spans, worded),
-        F.transform(spans(r"\d{2} \d{2} [1-9]\d{3}"), lambda s: numeric(s)[0]),
-    )
-    return F.when(search.rlike(r"[1-9]\d{3}"), F.array_distinct(F.array_compact(found))).otherwise(
-        F.array().cast("array<string>")
+        F.transform(spans(rf"{_YEAR} \d{{2}} \d{{2}}"), lambda s: F.translate(s, " ", "-")),
+        F.transform(spans(_DAY_FIRST), worded),
+        F.transform(spans(_MONTH_FIRST), worded),
+        F.transform(spans(rf"\d{{2}} \d{{2}} {_YEAR}"), numeric),
     )
+    days = F.array_distinct(F.filter(found, is_iso_date))
+    return F.when(search.rlike(_YEAR), days).otherwise(F.array().cast("array<string>"))

@@ -125,7 +125,7 @@ def audit_discovered(
     column_path = F.concat_ws(".", table, F.col("column_id"))
     long_text = F.length(trim_all(F.col("description"))) > MAX_DESCRIPTION
     label = _labelled(F.col("label"), MAX_LABEL)
-    kinds = fields.select("schema_id", "field_id", "value_type").dropDuplicates(["schema_id", "field_id"])
+    kinds = fields.select("schema_id", "field_id", "value_type").distinct()
     counted = options.groupBy("schema_id", "field_id").agg(F.count("*").alias("n"))
     choices = kinds.join(counted, ["schema_id", "field_id"], "left").na.fill(0, ["n"])
     is_choice = F.col("value_type") == "select"

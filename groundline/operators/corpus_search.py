@@ -52,7 +52,7 @@ def token_frequencies(forms: DataFrame, sources: DataFrame) -> DataFrame:
     return seen.join(wanted, "token").groupBy("token").agg(F.count("*").alias("df"))
 
 
-def value_keys(forms: DataFrame, frequencies: DataFrame) -> DataFrame:
+def value_keys(forms: DataFrame, frequencies: DataFrame, fuzzy: bool = True) -> DataFrame:
     """The keys of each value: every document that matches it has at least one.
 
     * Three tokens or more: the rarest inner token, which containment keeps whole.
@@ -63,7 +63,7 @@ def value_keys(forms: DataFrame, frequencies: DataFrame) -> DataFrame:
     tokens = _tokens(F.col("v_search"))
     rows = forms.select(
         "value_id", "v_minimal", "v_search", F.size(tokens).alias("n"),
-        fuzzy_eligible(tokens).alias("fuzzy"),
+        (F.lit(fuzzy) & fuzzy_eligible(tokens)).alias("fuzzy"),
         (F.size(tokens) - least_overlap(tokens) + 1).alias("prefix"),
         F.posexplode(tokens).alias("pos", "token"),
     ).join(frequencies, "token", "left").na.fill(0, ["df"])
@@ -109,16 +109,10 @@ def candidate_pairs(forms: DataFrame, keys: DataFrame, sources: DataFrame) -> Da
     listed = keys.groupBy("value_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     if fits_broadcast(keys):
         asked = forms.join(listed, "value_id").withColumn("key", F.explode("keys"))
-        wanted = F.broadcast(keys.agg(F.collect_set("key").alias("wanted")))
-        shared = sources.join(wanted).withColumn(
-            "shared", F.array_intersect(F.col("wanted"), _source_keys(pieces))
-        )
-        exploded = shared.select(
-            "doc_id", "src_minimal", "src_search", "shared", F.explode("shared").alias("key")
-        )
-        met = exploded.join(F.broadcast(asked), "key")
-        first = F.array_min(F.array_intersect("keys", "shared"))
-        return met.filter(F.col("key") == first).drop("key", "keys", "shared")
+        held = sources.withColumn("held", _source_keys(pieces))
+        met = held.withColumn("key", F.explode("held")).join(F.broadcast(asked), "key")
+        first = F.array_min(F.array_intersect("keys", "held"))
+        return met.filter(F.col("key") == first).drop("key", "keys", "held")
     posted = sources.select("doc_id", F.explode(_source_keys(pieces)).alias("key"))
     pairs = posted.join(keys, "key").select("doc_id", "value_id").distinct()
     return pairs.join(forms, "value_id").join(sources, "doc_id")
@@ -127,7 +121,7 @@ def candidate_pairs(forms: DataFrame, keys: DataFrame, sources: DataFrame) -> Da
 def ground_in_corpus(values: DataFrame, documents: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Every match of a value in a document: exact, normalized or fuzzy."""
     forms, sources = value_forms(values), document_forms(documents)
-    keys = value_keys(forms, token_frequencies(forms, sources))
+    keys = value_keys(forms, token_frequencies(forms, sources), fuzzy)
     pairs = candidate_pairs(forms, keys, sources)
     tokens = _tokens(F.col("v_search"))
     rung = (

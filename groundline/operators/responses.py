@@ -11,6 +11,17 @@ SENSITIVE_HEADERS = ("authorization", "cookie", "x-api-key", "set-cookie")
 MESSAGE_CAP = 320
 
 
+def _is_one_document(body: Column) -> Column:
+    """Whether a text is one JSON document and nothing else.
+
+    The parsers stop after the first document. Put between two keys of an object, a body
+    with anything after it closes that object early or adds keys to it.
+    """
+    framed = F.concat(F.lit('{"body":'), body, F.lit(',"end":0}'))
+    keys = F.json_object_keys(framed)
+    return F.try_parse_json(framed).isNotNull() & (keys == F.array(F.lit("body"), F.lit("end")))
+
+
 def parse_responses(responses: DataFrame) -> DataFrame:
     """One row per key of each JSON object body; a body that is none has its failure instead."""
     body = F.col("body")
@@ -18,7 +29,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     kind = F.schema_of_variant(parsed)
     failure = (
         F.when(body.isNull() | is_blank(body), "missing_content")
-        .when(parsed.isNull(), "invalid_json")
+        .when(~F.coalesce(_is_one_document(body), F.lit(False)), "invalid_json")
         .when(~kind.startswith("OBJECT"), "schema_validation")
     )
     rows = responses.withColumn("failure", failure)

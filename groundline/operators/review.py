@@ -47,11 +47,11 @@ def apply_table_edits(cells: DataFrame, edits: DataFrame, columns: DataFrame) ->
     """
     key = ["doc_id", "table_id"]
     rows = cells.groupBy(*key, "row_ix").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("column_id", "v_str")))).alias("row")
+        F.array_sort(F.collect_list(F.struct("column_id", "v_str"))).alias("row")
     )
     tables = rows.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("row_ix", "row"))).alias("r")
-    ).select(*key, F.transform("r", lambda item: item["row"]).alias("rows"))
+    ).select(*key, F.transform("r", lambda item: F.map_from_entries(item["row"])).alias("rows"))
     steps = edits.filter(F.col("op") != "set_field").groupBy(
         "doc_id", F.col("target_id").alias("table_id")
     ).agg(

@@ -10,6 +10,7 @@ is used.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -303,22 +304,20 @@ def _spark_text(sql: str) -> str:
         rows = re.sub(r"\(([^()]*)\)", r"struct(\1)", match[1])
         return f"LATERAL VIEW inline(array({rows})) {match[2]} AS {match[3]}"
 
-    return GIVEN_MARK.sub(r"{\1}", _PER_ROW.sub(generated, sql))
+    plain = _PER_ROW.sub(generated, sql).replace("{", "{{").replace("}", "}}")
+    return GIVEN_MARK.sub(r"{\1}", plain)
 
 
 def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived input as a DataFrame."""
+def derive(spark: SparkSession, name: str, table: Callable[[str], DataFrame]) -> DataFrame:
+    """A derived input as a DataFrame; ``table`` gives the given tables."""
     needed = dependencies(name)
     text = f"WITH {with_clause([name])} SELECT * FROM {name}"
-    frames = {}
-    for table in GIVEN:
-        if any(re.search(rf"@{table}\b", INPUTS[n]) for n in needed):
-            frames[table] = given(spark, sf_dir, table)
-    return spark.sql(_spark_text(text), **frames)
+    used = {mark for n in needed for mark in GIVEN_MARK.findall(INPUTS[n])}
+    return spark.sql(_spark_text(text), **{mark: table(mark) for mark in sorted(used)})
 
 
 def oracle_text(sql: str, names: list[str] = ()) -> str:
@@ -326,9 +325,10 @@ def oracle_text(sql: str, names: list[str] = ()) -> str:
     used = list(names) or [n for n in INPUTS if re.search(rf"\b{n}\b", sql)]
     head = with_clause(used)
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        body = body[5:]
-        text = f"WITH {head},\n{body}" if head else f"WITH {body}"
+    opening = re.match(r"(WITH(?: RECURSIVE)?) ", body)
+    if opening:
+        body = body[opening.end():]
+        text = f"{opening[1]} {head},\n{body}" if head else f"{opening[1]} {body}"
     else:
         text = f"WITH {head}\n{body}" if head else body
     return GIVEN_MARK.sub(r"\1", text)

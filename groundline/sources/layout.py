@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from groundline.functions.text import WS, clean_text, is_blank
 
@@ -134,7 +133,7 @@ def audit_layout(layouts: DataFrame, blocks: DataFrame, cells: DataFrame) -> Dat
 # What an analysis response holds; numbers are read loosely and checked afterwards.
 _REGION = "struct<pageNumber:double,polygon:array<double>>"
 _SPAN = "struct<offset:double,length:double>"
-ANALYSIS_SCHEMA = T.StructType.fromDDL(
+ANALYSIS_SCHEMA = (
     "content string,"
     "pages array<struct<pageNumber:double,width:double,height:double>>,"
     f"paragraphs array<struct<content:string,role:string,boundingRegions:array<{_REGION}>,spans:array<{_SPAN}>>>,"
