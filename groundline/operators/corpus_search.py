@@ -20,7 +20,7 @@ from groundline.operators.fixed_matching import (
     fuzzy_window,
     least_overlap,
 )
-from groundline.session import fits_broadcast
+from groundline.session import ensure_checkpoint_dir, fits_broadcast
 
 
 def value_forms(values: DataFrame) -> DataFrame:
@@ -121,7 +121,9 @@ def candidate_pairs(forms: DataFrame, keys: DataFrame, sources: DataFrame) -> Da
 def ground_in_corpus(values: DataFrame, documents: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Every match of a value in a document: exact, normalized or fuzzy."""
     forms, sources = value_forms(values), document_forms(documents)
-    keys = value_keys(forms, token_frequencies(forms, sources), fuzzy)
+    # The keys take a pass over the corpus and are asked for several times, so they are kept.
+    ensure_checkpoint_dir(values.sparkSession)
+    keys = value_keys(forms, token_frequencies(forms, sources), fuzzy).checkpoint()
     pairs = candidate_pairs(forms, keys, sources)
     tokens = _tokens(F.col("v_search"))
     rung = (
