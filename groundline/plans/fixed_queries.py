@@ -146,7 +146,7 @@ def source_representations(t: Tables) -> DataFrame:
 @query(f"""WITH found AS (
   SELECT doc_id, 'email' AS kind, list_distinct({o.emails('text')}) AS m FROM @documents
   UNION ALL SELECT doc_id, 'phone', {o.phones('text')} FROM @documents
-  UNION ALL SELECT doc_id, 'number', list_transform({o.numbers('text')}, lambda n: printf('%.4f', n)) FROM @documents)
+  UNION ALL SELECT doc_id, 'number', list_transform({o.numbers('text')}, lambda n: CASE WHEN abs(n) < 1e15 THEN printf('%.4f', n) ELSE printf('%.9e', n) END) FROM @documents)
 SELECT doc_id, kind, CAST(unnest(range(len(m))) AS INT) AS pos, unnest(m) AS canonical FROM found""")
 def mention_index(t: Tables) -> DataFrame:
     return mentions(_documents(t))

@@ -21,9 +21,6 @@ def tune(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.enabled", "true")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
-    # A join on (doc, part, key) may reuse a hash partitioning on (doc, part), so
-    # index keys can be exploded after the exchange rather than before it.
-    conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return spark
 
 
