@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundline.llm.batches import slices, sums
-from groundline.llm.tokens import encoder
+from groundline.llm.tokens import SLICE_BYTES, encoder
 
 BIGRAM_CELLS = 1 << 21
 VOCABULARY = 49_408
@@ -63,7 +63,7 @@ def gather(docs: DataFrame, in_target: Column, tokenizer: str, vocabulary: int =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tables = encoder(tokenizer), np.zeros((2, width), np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             ids, bounds = encode.of_texts(batch.column("text"))
             cell = np.concatenate([ids.astype(np.int64), vocabulary + cells(_pairs(ids, bounds, vocabulary), ids, size)])
             chosen = np.repeat(batch.column("chosen").to_numpy(zero_copy_only=False), np.diff(bounds))
@@ -122,7 +122,7 @@ def score_difference(docs: DataFrame, models: Models, tokenizer: str) -> DataFra
         encode = encoder(tokenizer)
         target, background = (Counts(*m) for m in held.value)
         vocabulary, size = len(target.tokens), len(target.bigrams)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             ids, bounds = encode.of_texts(batch.column("text"))
             before = _pairs(ids, bounds, vocabulary)
             cell = cells(before, ids, size)

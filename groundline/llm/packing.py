@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundline.llm.batches import slices
-from groundline.llm.tokens import encoder
+from groundline.llm.tokens import SLICE_BYTES, encoder
 
 WINDOW = 4096
 SHARD_DOCUMENTS = 4096
@@ -44,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WIN
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             ids, bounds = encode.of_texts(batch.column("text"))
             ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
             bounds = bounds + np.arange(len(bounds))
