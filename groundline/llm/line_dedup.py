@@ -118,7 +118,7 @@ def drop_shared_lines(docs: DataFrame, min_documents: int = 10, shortest: int =
     empty text), and ``n_lines`` (before) and ``n_dropped`` are added, replacing columns of these
     names. Each row is a document, also when ids are null or repeated. With ``keep_first`` the first
     line of a key stays in the row with the smallest id (nulls last); rows that equal it in id and
-    text keep theirs too. Writes a narrow table of suspected lines to the shared folder.
+    text keep theirs too. Writes narrow tables of suspected and of shared lines to the shared folder.
     """
     bits = bits or filter_bits(docs)
     known = docs.sparkSession.sparkContext.broadcast(seen_again(docs, shortest, bits).tobytes())
@@ -143,8 +143,10 @@ def drop_shared_lines(docs: DataFrame, min_documents: int = 10, shortest: int =
     suspects = cut_lineage(keyed.select(_KEY, "doc_id", "text").mapInArrow(suspect, schema))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(_KEY).alias("c")))["c"]
     shared = suspects.groupBy("line").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).filter(F.col("n") >= min_documents)
+    # written out, so that the join deals both sides itself and may split a very common line
+    shared = cut_lineage(shared.select("line", "first"))
     drops = (
-        suspects.join(shared.select("line", "first"), "line")
+        suspects.join(shared, "line")
         .groupBy(_KEY)
         .agg(F.collect_set(F.struct("line", (F.col("first") == F.col(_KEY)).alias("first"))).alias("_llm_drops"))
     )
