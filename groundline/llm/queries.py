@@ -76,12 +76,23 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss differences of every document between documents labelled good and all documents."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    good = labels.filter("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
     path = public_tokenizers.path(TOKENIZER)
-    models = lm.gather(docs.join(good, "doc_id", "left"), F.col("good"), path)
+    models = lm.gather(_marked_good(docs, labels), F.col("good"), path)
     return lm.score_difference(docs, models, path)
 
 
+def _marked_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text, good``: whether a label calls the document good. Rows without an id match no label.
+
+    Labels grow with the corpus, so both sides are dealt by id at every size; rows without an id
+    are dealt by their text.
+    """
+    none = F.col("doc_id").isNull()
+    key = [F.coalesce("doc_id", F.lit(0)).alias("a"), F.when(none, F.xxhash64("text")).otherwise(0).alias("b"), none.alias("c")]
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(False).alias("c")).distinct()
+    return docs.select("text", *key).join(good.withColumn("good", F.lit(True)).hint("merge"), ["a", "b", "c"], "left")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and verdict of every document."""
     docs = _table(spark, sf_dir, "documents")
