@@ -72,7 +72,7 @@ def audit_extraction_result(
     mismatched = both.select("doc_id", F.explode(F.array_compact(F.array(*wrong))).alias("path"))
     mismatched = mismatched.select("doc_id", F.lit("meta_mismatch").alias("rule"), "path")
 
-    known = F.broadcast(fields.select("schema_id", "field_key"))
+    known = fields.select("schema_id", "field_key")
     stray = warning_keys.join(documents.select("doc_id", "schema_id"), "doc_id").join(
         known, ["schema_id", "field_key"], "left_anti"
     )

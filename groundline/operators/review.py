@@ -9,9 +9,12 @@ from groundline.functions.numbers import parse_scalar_number, plain_number
 from groundline.functions.text import collapse, safe_stem, trim_all
 
 
+_VALUE = "struct<v_str:string,v_num:double,v_bool:boolean>"
+
+
 def default_values(documents: DataFrame, fields: DataFrame) -> DataFrame:
     """The empty form of each document's schema: null for amounts, blank otherwise."""
-    catalog = F.broadcast(fields.select("schema_id", "ordinal", "field_key", "kind"))
+    catalog = fields.select("schema_id", "ordinal", "field_key", "kind")
     blank = F.when(~F.col("kind").isin("number", "currency"), "")
     return documents.select("doc_id", "schema_id").join(catalog, "schema_id").withColumn(
         "default_str", blank
@@ -28,14 +31,25 @@ def initial_review_values(documents: DataFrame, fields: DataFrame, values: DataF
     return rows.select("doc_id", "schema_id", "ordinal", "field_key", text.alias("v_str"), "v_num")
 
 
+def typed(rows: DataFrame) -> Column:
+    """The value of a row; kinds of value that a table has no column for are null."""
+    return F.struct(
+        *(
+            F.col(name).cast(kind).alias(name) if name in rows.columns else F.lit(None).cast(kind).alias(name)
+            for name, kind in (("v_str", "string"), ("v_num", "double"), ("v_bool", "boolean"))
+        )
+    )
+
+
 def apply_field_edits(values: DataFrame, edits: DataFrame) -> DataFrame:
-    """The last edit of a field replaces its value. Values are one string per field."""
+    """The last edit of a field replaces its value: text, number and truth value together."""
     edited = edits.filter(F.col("op") == "set_field").groupBy(
         "doc_id", F.col("target_id").alias("field_id")
-    ).agg(F.max_by(F.struct("v_str"), "seq").alias("edit"))
-    rows = values.join(edited, ["doc_id", "field_id"], "full")
-    new = F.when(F.col("edit").isNotNull(), F.col("edit.v_str")).otherwise(F.col("v_str"))
-    return rows.select("doc_id", "field_id", new.alias("v_str"))
+    ).agg(F.max_by(typed(edits), "seq").alias("edit"))
+    rows = values.select("doc_id", "field_id", typed(values).alias("value")).join(edited, ["doc_id", "field_id"], "full")
+    return rows.select("doc_id", "field_id", F.when(F.col("edit").isNotNull(), F.col("edit")).otherwise(F.col("value")).alias("v")).select(
+        "doc_id", "field_id", "v.*"
+    )
 
 
 def apply_table_edits(cells: DataFrame, edits: DataFrame, columns: DataFrame) -> DataFrame:
@@ -47,7 +61,7 @@ def apply_table_edits(cells: DataFrame, edits: DataFrame, columns: DataFrame) ->
     """
     key = ["doc_id", "table_id"]
     rows = cells.groupBy(*key, "row_ix").agg(
-        F.array_sort(F.collect_list(F.struct("column_id", "v_str"))).alias("row")
+        F.array_sort(F.collect_list(F.struct("column_id", typed(cells).alias("v")))).alias("row")
     )
     tables = rows.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("row_ix", "row"))).alias("r")
@@ -55,15 +69,15 @@ def apply_table_edits(cells: DataFrame, edits: DataFrame, columns: DataFrame) ->
     steps = edits.filter(F.col("op") != "set_field").groupBy(
         "doc_id", F.col("target_id").alias("table_id")
     ).agg(
-        F.array_sort(F.collect_list(F.struct("seq", "op", "row_ix", "column_id", "v_str"))).alias("steps")
+        F.array_sort(F.collect_list(F.struct("seq", "op", "row_ix", "column_id", typed(edits).alias("v")))).alias("steps")
     )
     blank = columns.groupBy("doc_id", "table_id").agg(
         F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("column_id", F.lit(None).cast("string").alias("v"))))
+            F.array_sort(F.collect_list(F.struct("column_id", F.lit(None).cast(_VALUE).alias("v"))))
         ).alias("blank")
     )
     joined = tables.join(steps, key, "full").join(blank, key, "left")
-    none = F.array().cast("array<map<string,string>>")
+    none = F.array().cast(f"array<map<string,{_VALUE}>>")
 
     def without(row: Column, column: Column) -> Column:
         return F.map_filter(row, lambda name, _: name != column)
@@ -71,7 +85,7 @@ def apply_table_edits(cells: DataFrame, edits: DataFrame, columns: DataFrame) ->
     def step(state: Column, edit: Column) -> Column:
         def changed(row: Column, position: Column) -> Column:
             here = (position == edit["row_ix"])
-            value = F.create_map(edit["column_id"], edit["v_str"])
+            value = F.create_map(edit["column_id"], edit["v"])
             return F.when(here, F.map_concat(without(row, edit["column_id"]), value)).otherwise(row)
 
         return (
@@ -85,20 +99,21 @@ def apply_table_edits(cells: DataFrame, edits: DataFrame, columns: DataFrame) ->
         )
 
     edited = F.reduce(
-        F.coalesce("steps", F.array().cast("array<struct<seq:bigint,op:string,row_ix:int,column_id:string,v_str:string>>")),
+        F.coalesce("steps", F.array().cast(f"array<struct<seq:bigint,op:string,row_ix:int,column_id:string,v:{_VALUE}>>")),
         F.coalesce("rows", none),
         step,
     )
     return (
         joined.select(*key, F.posexplode(edited).alias("row_ix", "row"))
-        .select(*key, "row_ix", F.explode("row").alias("column_id", "v_str"))
+        .select(*key, "row_ix", F.explode("row").alias("column_id", "v"))
+        .select(*key, "row_ix", "column_id", "v.*")
     )
 
 
 def edited_flags(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key, whether the serialised value changed. Review states are left as they were."""
-    left = before.select(*keys, F.to_json(F.struct(F.col("v_str").alias("v"))).alias("before"))
-    right = after.select(*keys, F.to_json(F.struct(F.col("v_str").alias("v"))).alias("after"))
+    """Per key, whether text, number or truth value changed. Review states are left as they were."""
+    left = before.select(*keys, typed(before).alias("before"))
+    right = after.select(*keys, typed(after).alias("after"))
     return left.join(right, keys, "full").select(
         *keys, (~F.col("before").eqNullSafe(F.col("after"))).alias("edited")
     )
@@ -144,7 +159,7 @@ def review_dashboard(results: DataFrame) -> DataFrame:
 
 def warning_labels(warnings: DataFrame, documents: DataFrame, fields: DataFrame) -> DataFrame:
     """The field labels of each warning in key order; unknown keys are left out."""
-    labels = F.broadcast(fields.select("schema_id", F.col("field_key").alias("key"), "label"))
+    labels = fields.select("schema_id", F.col("field_key").alias("key"), "label")
     keyed = warnings.filter(F.size("field_keys") > 0).select(
         "doc_id", "seq", "code", F.posexplode("field_keys").alias("pos", "key")
     )
@@ -165,19 +180,24 @@ def font_size(kind: Column, text: Column) -> Column:
     return F.when(kind == "textarea", area).otherwise(line)
 
 
+def unknown_templates(documents: DataFrame, templates: DataFrame) -> DataFrame:
+    """``doc_id, template_id, rule`` of documents whose template their schema does not have."""
+    missing = documents.join(templates.select("schema_id", "template_id"), ["schema_id", "template_id"], "left_anti")
+    return missing.select("doc_id", "template_id", F.lit("unknown_template").alias("rule"))
+
+
 def fill_plan(
     documents: DataFrame, fields: DataFrame, options: DataFrame, templates: DataFrame, values: DataFrame
 ) -> DataFrame:
     """What is written into each form field of a document's template, and how.
 
     ``documents`` has ``doc_id, schema_id, template_id, flatten``. A value that cannot be
-    written is marked unsupported; a document with an unknown template has no rows.
+    written is marked unsupported; a document with an unknown template has no rows here and is
+    listed by :func:`unknown_templates`.
     """
-    catalog = F.broadcast(fields.select("schema_id", "ordinal", "field_key", "kind", "pdf_field"))
-    choices = F.broadcast(
-        options.select("schema_id", "field_key", F.col("value").alias("v_str"), F.col("label").alias("choice"))
-    )
-    forms = F.broadcast(templates.select("schema_id", "template_id", "flatten_by_default"))
+    catalog = fields.select("schema_id", "ordinal", "field_key", "kind", "pdf_field")
+    choices = options.select("schema_id", "field_key", F.col("value").alias("v_str"), F.col("label").alias("choice"))
+    forms = templates.select("schema_id", "template_id", "flatten_by_default")
     rows = (
         documents.join(forms, ["schema_id", "template_id"])
         .join(catalog, "schema_id")

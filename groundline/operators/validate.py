@@ -37,7 +37,7 @@ def _keyed(
     catalog = fields.select("schema_id", "ordinal", "field_key", "kind", "required").join(
         _option_sets(options, "field_key"), ["schema_id", "field_key"], "left"
     )
-    asked = documents.select("doc_id", "schema_id").join(F.broadcast(catalog), "schema_id")
+    asked = documents.select("doc_id", "schema_id").join(catalog, "schema_id")
     given = values.select(
         "doc_id", "schema_id", "field_key", "v_str", "v_num", F.lit(True).alias("given")
     )
@@ -53,7 +53,7 @@ def _typed_issue(kind: Column, missing_blank: Column | None = None) -> Column:
         .when(~numeric & text.isNull(), "invalid_type")
         .when((kind == "email") & ~is_email(text), "invalid_format")
         .when((kind == "date") & ~is_iso_date(text), "invalid_format")
-        .when((kind == "select") & ~F.array_contains("allowed", text), "invalid_value")
+        .when((kind == "select") & ~F.array_contains(F.coalesce("allowed", F.array().cast("array<string>")), text), "invalid_value")
     )
 
 
@@ -109,12 +109,10 @@ def validate_envelope(
 ) -> DataFrame:
     """Submissions whose schema or template name is malformed or not registered."""
     schema, template = trim_all(F.col("schema_id")), trim_all(F.col("template_id"))
-    known = F.broadcast(definitions.select(F.col("schema_id").alias("known_schema")))
-    mapped = F.broadcast(
-        templates.select(
+    known = definitions.select(F.col("schema_id").alias("known_schema"))
+    mapped = templates.select(
             F.col("schema_id").alias("of_schema"), F.col("template_id").alias("known_template")
         )
-    )
     rows = submissions.select("doc_id", schema.alias("s"), template.alias("t"))
     rows = rows.join(known, F.col("s") == F.col("known_schema"), "left").join(
         mapped, (F.col("s") == F.col("of_schema")) & (F.col("t") == F.col("known_template")), "left"
@@ -143,7 +141,7 @@ def _scalar_issue() -> Column:
         .when(~numeric & ~boolean & text.isNull(), "invalid_type")
         .when((kind == "email") & ~is_email(text), "invalid_format")
         .when((kind == "date") & ~is_iso_date(text), "invalid_format")
-        .when((kind == "select") & ~F.array_contains("allowed", text), "invalid_value")
+        .when((kind == "select") & ~F.array_contains(F.coalesce("allowed", F.array().cast("array<string>")), text), "invalid_value")
         .when(plain & (trimmed == ""), "too_small")
         .when((plain | (kind == "email")) & (F.length(trimmed) > limit), "too_big")
     )

@@ -14,7 +14,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundline.session import spread
 
 GIVEN = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -296,7 +295,7 @@ def with_clause(names: list[str]) -> str:
     return ",\n".join(f"{n} AS ({INPUTS[n]})" for n in needed)
 
 
-_PER_ROW = re.compile(r"CROSS JOIN \(VALUES (.*?)\)\s+AS (\w+)\(([^)]*)\)", re.DOTALL)
+_PER_ROW = re.compile(r"CROSS JOIN \(VALUES\s+(.*?)\)\s+AS (\w+)\(([^)]*)\)", re.DOTALL)
 
 
 def _spark_text(sql: str) -> str:
@@ -311,7 +310,7 @@ def _spark_text(sql: str) -> str:
 
 
 def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def derive(spark: SparkSession, name: str, table: Callable[[str], DataFrame]) -> DataFrame:

@@ -39,39 +39,41 @@ def initial_review_values(t: Tables) -> DataFrame:
 
 
 def _field_texts(t: Tables) -> DataFrame:
-    return t.order_values.select("doc_id", F.col("field_key").alias("field_id"), "v_str")
+    return t.order_values.select("doc_id", F.col("field_key").alias("field_id"), "v_str", "v_num")
 
 
 FIELD_EDITS = """last AS (SELECT doc_id, target_id AS field_id, v_str AS new FROM edits WHERE op = 'set_field'
   QUALIFY row_number() OVER (PARTITION BY doc_id, target_id ORDER BY seq DESC) = 1),
 edited AS (SELECT coalesce(v.doc_id, l.doc_id) AS doc_id, coalesce(v.field_key, l.field_id) AS field_id,
-  CASE WHEN l.doc_id IS NOT NULL THEN l.new ELSE v.v_str END AS v_str, v.v_str AS old, v.doc_id IS NOT NULL AS had
+  CASE WHEN l.doc_id IS NOT NULL THEN l.new ELSE v.v_str END AS v_str, CASE WHEN l.doc_id IS NULL THEN v.v_num END AS v_num,
+  v.v_str AS old, v.v_num AS old_num, v.doc_id IS NOT NULL AS had
   FROM order_values v FULL JOIN last l ON l.doc_id = v.doc_id AND l.field_id = v.field_key)"""
 
 
-@query(f"WITH {FIELD_EDITS} SELECT doc_id, field_id, v_str FROM edited")
+@query(f"WITH {FIELD_EDITS} SELECT doc_id, field_id, v_str, v_num, CAST(NULL AS BOOLEAN) AS v_bool FROM edited")
 def field_edits(t: Tables) -> DataFrame:
     return rv.apply_field_edits(_field_texts(t), t.edits)
 
 
-@query(f"WITH {FIELD_EDITS} SELECT doc_id, field_id, NOT had OR v_str IS DISTINCT FROM old AS edited FROM edited")
+@query(f"WITH {FIELD_EDITS} SELECT doc_id, field_id, NOT had OR v_str IS DISTINCT FROM old OR v_num IS DISTINCT FROM old_num AS edited FROM edited")
 def edited_fields(t: Tables) -> DataFrame:
     before = _field_texts(t)
     return rv.edited_flags(before, rv.apply_field_edits(before, t.edits), ["doc_id", "field_id"])
 
 
 # Every order is edited alike: a row is added at the end, one removed by position, then two cells set.
-@query("""WITH base AS (SELECT doc_id, row_ix, column_id, v_str FROM notice_cell_values),
+@query("""WITH base AS (SELECT doc_id, row_ix, column_id, v_str, v_num FROM notice_cell_values),
 n AS (SELECT k AS doc_id, coalesce((SELECT max(row_ix) + 1 FROM base b WHERE b.doc_id = k), 0) AS rows FROM order_facts),
-added AS (SELECT doc_id, row_ix, column_id, v_str FROM base UNION ALL
-  SELECT n.doc_id, n.rows, c.column_id, NULL FROM n JOIN notice_columns c ON c.schema_id = n.doc_id AND c.table_id = 'items'),
-gone AS (SELECT a.doc_id, row_ix - CASE WHEN row_ix > doc_id % 3 THEN 1 ELSE 0 END AS row_ix, column_id, v_str FROM added a
+added AS (SELECT doc_id, row_ix, column_id, v_str, v_num FROM base UNION ALL
+  SELECT n.doc_id, n.rows, c.column_id, NULL, NULL FROM n JOIN notice_columns c ON c.schema_id = n.doc_id AND c.table_id = 'items'),
+gone AS (SELECT a.doc_id, row_ix - CASE WHEN row_ix > doc_id % 3 THEN 1 ELSE 0 END AS row_ix, column_id, v_str, v_num FROM added a
   WHERE row_ix <> doc_id % 3)
 SELECT doc_id, 'items' AS table_id, CAST(row_ix AS INT) AS row_ix, column_id,
-  CASE WHEN column_id = 'part' AND row_ix = 1 THEN 'cell 5' WHEN column_id = 'part' AND row_ix = 0 THEN 'cell 6' ELSE v_str END AS v_str
+  CASE WHEN column_id = 'part' AND row_ix = 1 THEN 'cell 5' WHEN column_id = 'part' AND row_ix = 0 THEN 'cell 6' ELSE v_str END AS v_str,
+  CASE WHEN column_id = 'part' AND row_ix IN (0, 1) THEN NULL ELSE v_num END AS v_num, CAST(NULL AS BOOLEAN) AS v_bool
 FROM gone WHERE doc_id IN (SELECT k FROM order_facts)""")
 def table_edits(t: Tables) -> DataFrame:
-    cells = t.notice_cell_values.select("doc_id", "table_id", "row_ix", "column_id", "v_str")
+    cells = t.notice_cell_values.select("doc_id", "table_id", "row_ix", "column_id", "v_str", "v_num")
     columns = t.notice_columns.filter(F.col("table_id") == "items").select(
         F.col("schema_id").alias("doc_id"), "table_id", "column_id"
     )

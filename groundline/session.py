@@ -25,32 +25,19 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set a local one only where none is named."""
+    """Use the shared folder that the session names; only a local session may go without one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    context.setCheckpointDir(folder)
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
     """Count a side, stopping just past the limit, before it may be broadcast."""
     return df.limit(limit + 1).count() <= limit
 
-
-# Inputs between these sizes per core are spread over the cores before heavy work.
-SPREAD_FLOOR = 256 * 1024
-SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Split a small input that is stored in few row groups over all cores.
-
-    Text work is bound by the processor, and a scan has no more tasks than row groups. Large
-    inputs have enough of them and are left as they are.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if SPREAD_FLOOR < size < SPREAD_BYTES_PER_CORE * cores:
-        return df.repartition(cores)
-    return df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundline.functions.text import WS, clean_text, is_blank
@@ -65,20 +65,22 @@ def normalize_polygon(points: Column, width: Column, height: Column) -> Column:
 def assemble_pages(pages: DataFrame, max_chars: int = MAX_CONTENT) -> DataFrame:
     """Documents joined from page texts, each with a reason where it is not acceptable.
 
-    Pages are numbered from one. A page past the limit, or a text longer than the budget,
-    settles the document's fate by its counts alone, so such texts are not collected: a
-    document's list holds at most fifty pages of bounded length however many rows it has.
+    Pages come in the order of their numbers, which may have gaps and repeats. Only the first
+    fifty by position, and only while their running length is within the budget, are collected:
+    what lies beyond makes the document unacceptable, so an accepted one is always whole.
     """
     text = clean_text(F.col("text"))
     marker = F.when(F.col("page") == 1, text).otherwise(
         F.concat(F.lit("\n\n--- Page "), F.col("page").cast("string"), F.lit(" ---\n\n"), text)
     )
     rows = pages.select("doc_id", "page", marker.alias("part"))
-    keep = (F.col("page") <= MAX_PAGES) & (F.length("part") <= max_chars)
+    order = Window.partitionBy("doc_id").orderBy("page", "part")
+    rows = rows.withColumn("position", F.row_number().over(order)).withColumn("running", F.sum(F.length("part")).over(order))
+    keep = (F.col("position") <= MAX_PAGES) & (F.col("running") <= max_chars)
     grouped = rows.groupBy("doc_id").agg(
         F.count("*").cast("int").alias("page_count"),
         F.sum(F.length("part")).alias("joined_chars"),
-        F.array_sort(F.collect_list(F.when(keep, F.struct("page", "part")))).alias("parts"),
+        F.array_sort(F.collect_list(F.when(keep, F.struct("position", "part")))).alias("parts"),
     )
     joined = F.array_join(F.transform("parts", lambda p: p["part"]), "")
     fits = (F.col("page_count") <= MAX_PAGES) & (F.col("joined_chars") <= max_chars)
@@ -160,11 +162,29 @@ def _first_region(regions: Column, pages: Column, source_format: Column) -> tupl
     return number, normalize_polygon(region["polygon"], width, height)
 
 
+def rejected_analysis(responses: DataFrame) -> DataFrame:
+    """``doc_id, reason`` of responses that :func:`read_analysis` leaves out or reads in part."""
+    r = F.from_json("body", ANALYSIS_SCHEMA)
+    cells = F.aggregate(F.coalesce(F.col("r.tables"), F.array()), F.lit(0), lambda n, t: n + F.greatest(F.size(t["cells"]), F.lit(0)))
+    reason = (
+        F.when(F.col("r.content").isNull() & F.col("r.paragraphs").isNull() & F.col("r.tables").isNull(), "unreadable")
+        .when(is_blank(F.col("r.content")), "blank_content")
+        .when(F.length("r.content") > MAX_CONTENT, "content_too_long")
+        .when(F.size("r.pages") > MAX_ITEMS, "too_many_pages")
+        .when(F.size("r.paragraphs") > MAX_ITEMS, "too_many_blocks")
+        .when(F.size("r.tables") > MAX_TABLES, "too_many_tables")
+        .when(cells > MAX_CELLS, "too_many_cells")
+    )
+    rows = responses.select("doc_id", r.alias("r")).select("doc_id", F.coalesce(reason, F.when(F.col("r").isNull(), "unreadable")).alias("reason"))
+    return rows.filter(F.col("reason").isNotNull())
+
+
 def read_analysis(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Layouts, blocks and cells from analysis JSON (``doc_id, source_format, body``).
 
     Malformed items are dropped and missing integers defaulted; a response without usable
-    content has no layout. Arrays are cut at the item bounds before they are exploded.
+    content has no layout. Arrays are cut at the item bounds before they are exploded; the documents
+    this concerns, and those without a layout, are listed by :func:`rejected_analysis`.
     """
     parsed = responses.select(
         "doc_id", "source_format", F.from_json("body", ANALYSIS_SCHEMA).alias("r")
