@@ -105,12 +105,16 @@ def single_blocks(t: Tables) -> DataFrame:
 @query(r"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'),
     '(?is)<style\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM @pages),
 m AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)<(title|h1|h2|h3|p|li|div|footer)(\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'),
-    '(?i)</(title|h1|h2|h3|p|li|div|footer)\s*>', chr(1) || chr(2), 'g') AS h FROM s),
+    '(?i)</(title|h1|h2|h3|p|li|div|footer)\s*>', chr(1) || '/' || chr(2), 'g') AS h FROM s),
 p AS (SELECT page_id, CAST(unnest(range(len(string_split(h, chr(1))))) AS INT) AS block_ix, unnest(string_split(h, chr(1))) AS part FROM m),
-b AS (SELECT page_id, block_ix, lower(split_part(part, chr(2), 1)) AS element, split_part(part, chr(2), 2) AS body FROM p WHERE contains(part, chr(2)))
+t AS (SELECT page_id, block_ix, CASE WHEN contains(part, chr(2)) THEN lower(split_part(part, chr(2), 1)) ELSE '' END AS tag,
+  CASE WHEN contains(part, chr(2)) THEN split_part(part, chr(2), 2) ELSE part END AS body FROM p),
+e AS (SELECT *, sum(CASE tag WHEN '/' THEN -1 WHEN '' THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY block_ix) AS depth FROM t),
+b AS (SELECT page_id, block_ix, body, coalesce(last_value(CASE WHEN tag NOT IN ('', '/') THEN tag END IGNORE NULLS)
+  OVER (PARTITION BY page_id, depth ORDER BY block_ix), 'body') AS element FROM e)
 SELECT doc_id, block_ix, element, md5(content) AS content_md5 FROM (SELECT page_id AS doc_id, block_ix, element,
   trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'),
-    '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS content FROM b) x WHERE element <> '' AND content <> ''""")
+    '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS content FROM b) x WHERE content <> ''""")
 def html_page_blocks(t: Tables) -> DataFrame:
     return html.html_blocks(t.given("pages")).withColumn("content_md5", F.md5("content")).drop("content")
 

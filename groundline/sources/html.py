@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundline.functions.text import collapse
@@ -16,26 +16,49 @@ ENTITIES = (
 )
 
 
+def numeric_entities(text: Column) -> Column:
+    """Decimal and hexadecimal character numbers decoded; what names no character stays as it is."""
+
+    def decoded(piece: Column) -> Column:
+        number = F.regexp_extract(piece, r"^([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});", 1)
+        hexadecimal = F.lower(F.left(number, F.lit(1))) == "x"
+        code = F.when(hexadecimal, F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).try_cast("bigint")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(valid, F.concat(char, F.substr(piece, F.length(number) + 2))).otherwise(F.concat(F.lit("&#"), piece))
+
+    pieces = F.split(text, "&#")
+    rest = F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), decoded), "")
+    return F.when(F.contains(text, F.lit("&#")), F.concat(F.get(pieces, F.lit(0)), rest)).otherwise(text)
+
+
 def visible_text(fragment: Column) -> Column:
-    text = F.regexp_replace(fragment, "<[^>]*>", " ")
+    text = numeric_entities(F.regexp_replace(fragment, "<[^>]*>", " "))
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return collapse(text)
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """One block per block element that opens, up to the next one (``page_id, html``)."""
+    """One block per run of text between block tags (``page_id, html``).
+
+    Text behind an opening tag is of that element; text behind a closing tag is of the element
+    around it, found by the depth of the tags. Text in no block element has the element ``body``.
+    """
     text = F.col("html")
     for name in DROPPED_ELEMENTS:
         text = F.regexp_replace(text, rf"(?is)<{name}\b.*?</{name}>", " ")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
     names = "|".join(BLOCK_ELEMENTS)
-    # Everything between two block tags belongs to the tag before it.
     marked = F.regexp_replace(text, rf"(?i)<({names})(?:\s[^>]*)?>", "\x01$1\x02")
-    marked = F.regexp_replace(marked, rf"(?i)</(?:{names})\s*>", "\x01\x02")
+    marked = F.regexp_replace(marked, rf"(?i)</(?:{names})\s*>", "\x01/\x02")
     parts = F.split(marked, "\x01")
-    rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(parts).alias("pos", "part"))
-    element = F.lower(F.regexp_extract("part", "^([A-Za-z0-9]+)\x02", 1))
-    body = visible_text(F.regexp_replace("part", "^[A-Za-z0-9]*\x02", ""))
-    blocks = rows.select("doc_id", F.col("pos").alias("block_ix"), element.alias("element"), body.alias("content"))
-    return blocks.filter((F.col("element") != "") & (F.col("content") != ""))
+    rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(parts).alias("block_ix", "part"))
+    rows = rows.withColumn("tag", F.lower(F.regexp_extract("part", "^([A-Za-z0-9]+|/)\x02", 1)))
+    change = F.when(F.col("tag") == "/", -1).when(F.col("tag") == "", 0).otherwise(1)
+    rows = rows.withColumn("depth", F.sum(change).over(Window.partitionBy("doc_id").orderBy("block_ix")))
+    opened = F.when(~F.col("tag").isin("", "/"), F.col("tag"))
+    around = F.last(opened, ignorenulls=True).over(Window.partitionBy("doc_id", "depth").orderBy("block_ix"))
+    body = visible_text(F.regexp_replace("part", "^([A-Za-z0-9]+|/)\x02", ""))
+    blocks = rows.select("doc_id", "block_ix", F.coalesce(around, F.lit("body")).alias("element"), body.alias("content"))
+    return blocks.filter(F.col("content") != "")

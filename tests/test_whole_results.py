@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groundline.operators import review
 from groundline.operators.evidence import match_evidence
 from groundline.session import ensure_checkpoint_dir
-from groundline.sources import layout
+from groundline.sources import html, layout
 from groundline.sources.registered import load_fields
 
 
@@ -84,3 +84,11 @@ def test_chunks_stay_bounded_with_many_owners(spark, monkeypatch):
     blocks = spark.sql("SELECT 1L AS doc_id, 0L AS cand_pos, 'word7 and word1999' AS content, 1D AS confidence, 1 AS page_number, CAST(NULL AS STRING) AS polygon")
     found = {r.owner_id for r in match_evidence(items, blocks).collect()}
     assert {"f7", "f1999"} <= found
+
+
+def test_text_behind_closing_tags_and_outside_blocks_stays(spark):
+    page = "lead<div>intro <p>x &#233;&#x263A; &#xD800; &amp;#65;</p> outro</div><table><td>cell</td></table><h4>four</h4>"
+    got = html.html_blocks(spark.createDataFrame([(1, page)], "page_id long, html string")).orderBy("block_ix").collect()
+    assert [(r.element, r.content) for r in got] == [
+        ("body", "lead"), ("div", "intro"), ("p", "x é☺ &#xD800; &#65;"), ("div", "outro"), ("body", "cell four"),
+    ]
