@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -60,6 +61,26 @@ def test_contained_detections_are_suppressed():
     assert sum(len(group) for group in licenses.rules().values()) >= 200
 
 
+def test_suppression_of_many_detections_against_brute_force():
+    dice = random.Random(5)
+    for _ in range(40):
+        found = []
+        for _ in range(dice.randrange(60)):
+            first = dice.randrange(40)
+            found.append(licenses.Detection(first, first + dice.randrange(8), dice.randrange(1, 6), dice.choice("ab"), "title"))
+        kept = []
+        for one in sorted(set(found), key=lambda d: (-d.order, d.first - d.last, d.first, d.label)):
+            if not any(k.first <= one.first and one.last <= k.last for k in kept):
+                kept.append(one)
+        assert licenses.resolve(found) == kept
+
+
+def test_places_in_a_very_long_text():
+    text = b"under the mit license and " * 60_000
+    base, kept = licenses.scan(text)
+    assert len(base) == 60_000 and base[-1][0] == 5 * 59_999 and {k.label for k in kept} == {"mit"}
+
+
 def dedup_by_hand(rows, least, keep_first=False):
     def key(line):
         return ascii_lower(line.strip(" \t\n\x0b\x0c\r"))
