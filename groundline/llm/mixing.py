@@ -21,6 +21,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 WHOLE = 1.5
 MOST_EPOCHS = 2.0
 DOCUMENTS_PER_RANGE = 2048
+# Quality weights for which ranges of keys hold about as many documents (within a small factor).
+SPREAD_WEIGHTS = (0.1, 0.18, 0.32, 0.56, 1.0)
 SALT = "mix-1"
 
 
@@ -44,6 +46,17 @@ def uniform(doc_id: Column, salt: str = SALT) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
+def key_range(key: Column, ranges: int) -> Column:
+    """Range of a key, 0 to ``ranges - 1``, never smaller for a larger key.
+
+    Keys of one weight are exponential. The mean of the distribution functions of several weights
+    grows wherever one of them does, so the documents of no weight between 0.1 and 1 pile up in a
+    range: each holds at most some ten times its even share.
+    """
+    spread = sum((1 - F.exp(-w * key) for w in SPREAD_WEIGHTS), F.lit(0.0)) / len(SPREAD_WEIGHTS)
+    return F.least(F.lit(ranges - 1), F.floor(spread * ranges)).cast("int")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, whole: float = WHOLE, most: float = MOST_EPOCHS) -> DataFrame:
     """``source, source_size, target`` from ``source, source_size`` (one row a source).
 
@@ -87,9 +100,7 @@ def mix(
     quality = weight_of if weight_of is not None else quality_weight(F.col("text"))
     key = -F.log(uniform(F.col("doc_id"))) / quality
     rows = docs.select("doc_id", "source", row_key().alias("row_key"), word_count(F.col("text")).alias("size"), key.alias("_key"))
-    # any increasing function of the key serves for the ranges; this one spreads weight 1 evenly
-    rows = rows.withColumn("_range", F.least(F.lit(ranges - 1), F.floor((1 - F.exp(-F.col("_key"))) * ranges)).cast("int"))
-    rows = cut_lineage(rows)
+    rows = cut_lineage(rows.withColumn("_range", key_range(F.col("_key"), ranges)))
     summed = rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     targets = source_targets(summed.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, whole, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")

@@ -210,3 +210,12 @@ def test_quality_weights_change_the_odds(spark):
     taken = {r.doc_id: r.copies for r in mixing.mix(docs, whole=0.4, weights=(1.0,)).collect()}
     plain, marked = sum(taken[n] for n in range(1, 2000, 2)), sum(taken[n] for n in range(0, 2000, 2))
     assert plain > 1.5 * marked > 0
+
+
+def test_ranges_of_keys_hold_few_documents_of_every_weight(spark):
+    for weight in (0.1, 0.14, 0.4, 1.0):
+        draws = spark.range(40_000).select((-F.log((F.col("id") + 0.5) / 40_000) / weight).alias("k"))
+        sized = draws.groupBy(mixing.key_range(F.col("k"), 100).alias("r")).agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b"))
+        rows = sorted(sized.collect())
+        assert max(r.n for r in rows) < 15 * 400
+        assert all(low.b <= high.a for low, high in zip(rows, rows[1:], strict=False))
