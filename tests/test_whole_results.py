@@ -1,5 +1,6 @@
 """Cases in which rows, pages or kinds of value once went missing, with results written by hand."""
 
+import os
 import json
 
 import pytest
@@ -92,3 +93,19 @@ def test_text_behind_closing_tags_and_outside_blocks_stays(spark):
     assert [(r.element, r.content) for r in got] == [
         ("body", "lead"), ("div", "intro"), ("p", "x é☺ &#xD800; &#65;"), ("div", "outro"), ("body", "cell four"),
     ]
+
+
+def test_reviews_evaluate_evidence_once(spark):
+    from __spark_entry__ import queries
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("given tables are not here")
+
+    def evaluations(name):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("array_intersect")
+
+    once = evaluations("evidence_matches")
+    assert once >= 1
+    for name in ("discovered_summary", "discovered_warning_rows", "value_reviews", "table_reviews"):
+        assert evaluations(name) == once
