@@ -1,7 +1,7 @@
 """Cases in which rows, pages or kinds of value once went missing, with results written by hand."""
 
-import os
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
