@@ -103,10 +103,15 @@ def is_email(text: Column) -> Column:
 
 
 def safe_stem(title: Column, default: str = "document-extraction") -> Column:
-    """A file stem: compatibility form, one dash per run of other characters, 80 characters."""
+    """A file stem: compatibility form, one dash per run of other characters, 80 characters.
+
+    A longer stem ends in a digest of the whole title, so that no two titles share a name.
+    """
     # Marks are outside the allowed set, so each becomes part of a dash run.
     stem = F.regexp_replace(nfkd(title), "[^A-Za-z0-9._-]+", "-")
-    stem = F.substring(F.regexp_replace(stem, "^-+|-+$", ""), 1, 80)
+    stem = F.regexp_replace(stem, "^-+|-+$", "")
+    cut = F.concat(F.substring(stem, 1, 71), F.lit("-"), F.left(F.md5(title), F.lit(8)))
+    stem = F.when(F.length(stem) > 80, cut).otherwise(stem)
     return F.when(F.length(stem) == 0, F.lit(default)).otherwise(stem)
 
 

@@ -383,24 +383,42 @@ def pack_batches(
     return of_fields.unionByName(of_tables)
 
 
-def schema_fingerprint(schemas: DataFrame, fields: DataFrame, columns: DataFrame) -> DataFrame:
-    """A digest of each schema's header, fields and columns in order."""
+def schema_fingerprint(
+    schemas: DataFrame, fields: DataFrame, columns: DataFrame, options: DataFrame | None = None
+) -> DataFrame:
+    """A digest of all there is to a schema: header, fields, columns and options, in order.
+
+    The labels ``document_type_label``, ``section_label`` and ``table_label`` count where a table
+    has them, with the description of sections and tables if given beside them.
+    """
+
+    def listed(df: DataFrame, parts: list[str]) -> Column:
+        return F.to_json(F.array(*[F.col(p).cast("string") for p in parts if p in df.columns]))
 
     def digest(df: DataFrame, place: list[str], parts: list[str], out: str) -> DataFrame:
-        row = F.to_json(F.array(*[F.col(p).cast("string") for p in parts]))
-        listed = F.array_sort(F.collect_list(F.struct(*place, row.alias("row"))))
-        joined = F.array_join(F.transform(listed, lambda r: r["row"]), "\n")
-        return df.groupBy("schema_id").agg(joined.alias(out))
-
-    field_parts = ["section_id", "field_id", "label", "description", "value_type", "repeatable", "required"]
-    column_parts = ["table_id", "column_id", "label", "description", "value_type", "required"]
-    head = F.to_json(F.array(*[F.col(c) for c in ("document_type", "language", "title")]))
+        rows = F.array_sort(F.collect_list(F.struct(*place, listed(df, parts).alias("row"))))
+        return df.groupBy("schema_id").agg(F.array_join(F.transform(rows, lambda r: r["row"]), "\n").alias(out))
+
+    field_parts = [
+        "section_id", "section_label", "section_description", "field_id", "label", "description", "value_type",
+        "repeatable", "required",
+    ]
+    column_parts = [
+        "table_id", "table_label", "table_description", "column_id", "label", "description", "value_type", "required",
+    ]
+    head = listed(schemas, ["document_type", "document_type_label", "language", "title"])
     rows = (
         schemas.select("schema_id", head.alias("head"))
         .join(digest(fields, ["section_ix", "ordinal"], field_parts, "f"), "schema_id", "left")
         .join(digest(columns, ["table_ix", "ordinal"], column_parts, "c"), "schema_id", "left")
     )
-    text = F.concat_ws("\n", "head", F.coalesce("f", F.lit("")), F.coalesce("c", F.lit("")))
+    if options is None:
+        rows = rows.withColumn("o", F.lit(""))
+    else:
+        of_options = digest(options, ["field_id", "option_ix"], ["field_id", "value", "label"], "o")
+        rows = rows.join(of_options, "schema_id", "left")
+    # An empty part is told from a missing line: each part follows a line of its own.
+    text = F.concat_ws("\n", "head", *(F.concat(F.lit(f"{p}:\n"), F.coalesce(p, F.lit(""))) for p in "fco"))
     return rows.select("schema_id", F.sha2(text, 256).alias("fingerprint"))
 
 

@@ -46,7 +46,10 @@ def attempts(documents: DataFrame, configured: int = DEFAULT_CONFIGURED) -> Data
 
 
 def safe_schema_name(name: Column, prefix: str = "extract_") -> Column:
-    return F.concat(F.lit(prefix), F.left(F.regexp_replace(name, "[^A-Za-z0-9_]", "_"), F.lit(48)))
+    """Letters, digits and underscores, 48 of them; a longer name ends in a digest of all of it."""
+    clean = F.regexp_replace(name, "[^A-Za-z0-9_]", "_")
+    cut = F.concat(F.left(clean, F.lit(39)), F.lit("_"), F.left(F.md5(name), F.lit(8)))
+    return F.concat(F.lit(prefix), F.when(F.length(clean) > 48, cut).otherwise(clean))
 
 
 def build_requests(documents: DataFrame, batches: DataFrame) -> DataFrame:

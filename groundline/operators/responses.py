@@ -36,23 +36,62 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     return rows.select("*", F.when(F.col("failure").isNull(), parsed).alias("parsed"))
 
 
-def response_values(parsed: DataFrame) -> DataFrame:
-    """Scalars of the parsed bodies: one row per document and key."""
-    keys = F.explode(F.json_object_keys("body")).alias("field_id")
-    rows = parsed.filter(F.col("failure").isNull()).select("doc_id", "parsed", "body", keys)
-    path = F.concat(F.lit("$."), F.col("field_id"))
-    value = F.try_variant_get("parsed", path, "variant")
-    kind = F.schema_of_variant(value)
-    return rows.select(
-        "doc_id", "field_id",
-        F.when(kind == "STRING", F.try_variant_get("parsed", path, "string")).alias("v_str"),
-        F.when(
-            kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"),
-            F.try_variant_get("parsed", path, "double"),
-        ).alias("v_num"),
-        F.when(kind == "BOOLEAN", F.try_variant_get("parsed", path, "boolean")).alias("v_bool"),
+def _entries(value: Column) -> Column:
+    """An object's keys and values; keys are taken as they are, whatever signs they hold."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _scalars(value: str) -> list[Column]:
+    """Text, number, truth value and kind of a variant; lists and objects only have a kind."""
+    whole, kind = F.col(value), F.schema_of_variant(value)
+    number = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+    return [
+        F.when(kind == "STRING", F.try_variant_get(whole, "$", "string")).alias("v_str"),
+        F.when(number, F.try_variant_get(whole, "$", "double")).alias("v_num"),
+        F.when(kind == "BOOLEAN", F.try_variant_get(whole, "$", "boolean")).alias("v_bool"),
         kind.alias("value_kind"),
-    )
+    ]
+
+
+def response_values(parsed: DataFrame) -> DataFrame:
+    """Scalars of flat bodies: one row per document and key of the body itself."""
+    rows = parsed.filter(F.col("failure").isNull())
+    named = rows.select("doc_id", F.explode(_entries(F.col("parsed"))).alias("field_id", "value"))
+    return named.select("doc_id", "field_id", *_scalars("value"))
+
+
+def response_field_values(parsed: DataFrame) -> DataFrame:
+    """Rows of ``fields`` of each body: ``doc_id, field_id, item_ix`` and the value.
+
+    A list gives a row per item with its place, an empty list one row with the place -1; other
+    values have no place. What is neither scalar nor list has no value and its ``value_kind``.
+    """
+    rows = parsed.filter(F.col("failure").isNull())
+    fields = _entries(F.try_variant_get("parsed", "$.fields", "variant"))
+    named = rows.select("doc_id", F.explode(fields).alias("field_id", "whole"))
+    listed = F.schema_of_variant("whole").startswith("ARRAY")
+    items = F.when(listed, F.try_variant_get("whole", "$", "array<variant>"))
+    placed = named.select("doc_id", "field_id", "whole", listed.alias("listed"), F.posexplode_outer(items).alias("at", "item"))
+    place = F.coalesce("at", F.when(F.col("listed"), F.lit(-1))).alias("item_ix")
+    value = F.when(~F.col("listed"), F.col("whole")).otherwise(F.col("item"))
+    return placed.withColumn("value", value).select("doc_id", "field_id", place, *_scalars("value"))
+
+
+def response_cell_values(parsed: DataFrame) -> DataFrame:
+    """Rows of ``tables`` of each body: ``doc_id, table_id, row_ix, column_id`` and the value.
+
+    An empty table gives one row with the place -1, a row without cells one without a column, and
+    a table that is no list one without a place; none of them has a value.
+    """
+    rows = parsed.filter(F.col("failure").isNull())
+    tables = _entries(F.try_variant_get("parsed", "$.tables", "variant"))
+    named = rows.select("doc_id", F.explode(tables).alias("table_id", "whole"))
+    listed = F.schema_of_variant("whole").startswith("ARRAY")
+    items = F.when(listed, F.try_variant_get("whole", "$", "array<variant>"))
+    placed = named.select("doc_id", "table_id", listed.alias("listed"), F.posexplode_outer(items).alias("at", "line"))
+    place = F.coalesce("at", F.when(F.col("listed"), F.lit(-1))).alias("row_ix")
+    cells = placed.select("doc_id", "table_id", place, F.explode_outer(_entries(F.col("line"))).alias("column_id", "value"))
+    return cells.select("doc_id", "table_id", "row_ix", "column_id", *_scalars("value"))
 
 
 def resolve_attempts(log: DataFrame) -> DataFrame:

@@ -229,30 +229,61 @@ def fill_plan(
     )
 
 
+def _json_scalar() -> Column:
+    """The JSON text of a value row; a row without a value is ``null``."""
+    text = F.regexp_replace(F.to_json(F.array("v_str")), r"^\[|\]\z", "")
+    return F.coalesce(plain_number(F.col("v_num")), F.col("v_bool").cast("string"), F.when(F.col("v_str").isNotNull(), text), F.lit("null"))
+
+
+def _json_object(key: str, value: str) -> Column:
+    """The JSON text of one object from the rows of a group, its keys in order."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["k"], F.lit('":'), e["v"])), ","), F.lit("}"))
+
+
+def _json_list(place: str, value: str) -> Column:
+    """The JSON text of a list from the rows of a group; place -1 marks an empty list."""
+    items = F.array_sort(F.collect_list(F.when(F.col(place) >= 0, F.struct(F.col(place).alias("k"), F.col(value).alias("v")))))
+    return F.concat(F.lit("["), F.array_join(F.transform(items, lambda e: e["v"]), ","), F.lit("]"))
+
+
 def export_reviewed(
-    documents: DataFrame, violations: DataFrame, field_values: DataFrame, schema_version: int = 1
+    documents: DataFrame,
+    violations: DataFrame,
+    field_values: DataFrame,
+    cell_values: DataFrame,
+    schema_version: int = 1,
 ) -> DataFrame:
-    """One JSON text per valid document with its single-valued fields, and its file stem.
+    """One JSON text per valid document with all its fields and tables, and its file stem.
 
-    A document has a few hundred fields at most, which bounds the collected list.
+    Field rows with an ``item_ix`` are items of a list; the place -1 stands for an empty list, and
+    a ``row_ix`` of -1 for an empty table. Lists are as long as a contract lets one document be.
+    Texts are built before they are gathered: items to fields, cells to rows, rows to tables.
     """
     valid = documents.join(violations.select("doc_id"), "doc_id", "left_anti")
-    entries = F.array_sort(F.collect_list(F.struct("field_id", "v_json")))
-    scalar = F.coalesce(
-        plain_number(F.col("v_num")), F.col("v_bool").cast("string"),
-        F.regexp_replace(F.to_json(F.array("v_str")), r"^\[|\]\z", ""),
-    )
-    collected = field_values.withColumn("v_json", F.coalesce(scalar, F.lit("null"))).groupBy("doc_id").agg(
-        entries.alias("entries")
+    listed = F.max("item_ix").isNotNull()
+    fields = (
+        field_values.withColumn("json", _json_scalar())
+        .groupBy("doc_id", "field_id")
+        .agg(F.when(listed, _json_list("item_ix", "json")).otherwise(F.first("json")).alias("json"))
+        .groupBy("doc_id")
+        .agg(_json_object("field_id", "json").alias("fields"))
     )
-    body = F.array_join(
-        F.transform("entries", lambda e: F.concat(F.lit('"'), e["field_id"], F.lit('":'), e["v_json"])), ","
+    tables = (
+        cell_values.withColumn("json", _json_scalar())
+        .groupBy("doc_id", "table_id", "row_ix")
+        .agg(_json_object("column_id", "json").alias("json"))
+        .groupBy("doc_id", "table_id")
+        .agg(_json_list("row_ix", "json").alias("json"))
+        .groupBy("doc_id")
+        .agg(_json_object("table_id", "json").alias("tables"))
     )
-    return valid.join(collected, "doc_id", "left").select(
+    nothing = F.lit("{}")
+    return valid.join(fields, "doc_id", "left").join(tables, "doc_id", "left").select(
         "doc_id",
         F.concat(
-            F.lit('{"documentType":"'), "document_type", F.lit(f'","schemaVersion":{schema_version},"values":{{'),
-            F.coalesce(body, F.lit("")), F.lit("}}"),
+            F.lit('{"documentType":"'), "document_type", F.lit(f'","schemaVersion":{schema_version},"values":{{"fields":'),
+            F.coalesce("fields", nothing), F.lit(',"tables":'), F.coalesce("tables", nothing), F.lit("}}"),
         ).alias("payload"),
         F.concat(safe_stem(F.coalesce("title", "document_type")), F.lit(".json")).alias("file_name"),
     )

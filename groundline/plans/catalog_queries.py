@@ -201,14 +201,21 @@ def batch_packing(t: Tables) -> DataFrame:
     return c.pack_batches(t.wide_fields, t.wide_options, t.rough_columns)
 
 
-@query("""WITH f AS (SELECT schema_id, string_agg(CAST(to_json([section_id, field_id, label, description, value_type,
+@query("""WITH f AS (SELECT schema_id, string_agg(CAST(to_json([section_id, 'Part ' || section_id, field_id, label, description, value_type,
     CAST(repeatable AS VARCHAR), CAST(required AS VARCHAR)]) AS VARCHAR), chr(10) ORDER BY section_ix, ordinal) AS f FROM notice_fields GROUP BY ALL),
-c AS (SELECT schema_id, string_agg(CAST(to_json([table_id, column_id, label, description, value_type, CAST(required AS VARCHAR)]) AS VARCHAR),
-    chr(10) ORDER BY table_ix, ordinal) AS c FROM notice_columns GROUP BY ALL)
-SELECT schema_id, sha256(concat_ws(chr(10), CAST(to_json([document_type, language, title]) AS VARCHAR), f, c)) AS fingerprint
-FROM notice_docs JOIN f USING (schema_id) JOIN c USING (schema_id)""")
+c AS (SELECT schema_id, string_agg(CAST(to_json([table_id, 'List of ' || table_id, column_id, label, description, value_type, CAST(required AS VARCHAR)])
+    AS VARCHAR), chr(10) ORDER BY table_ix, ordinal) AS c FROM notice_columns GROUP BY ALL),
+o AS (SELECT schema_id, string_agg(CAST(to_json([field_id, value, label]) AS VARCHAR), chr(10) ORDER BY field_id, option_ix) AS o
+  FROM notice_options GROUP BY ALL)
+SELECT schema_id, sha256(concat_ws(chr(10), CAST(to_json([document_type, 'Order notice', language, title]) AS VARCHAR), 'f:', f, 'c:', c, 'o:', o)) AS fingerprint
+FROM notice_docs JOIN f USING (schema_id) JOIN c USING (schema_id) JOIN o USING (schema_id)""")
 def schema_fingerprint(t: Tables) -> DataFrame:
-    return c.schema_fingerprint(t.notice_docs, t.notice_fields, t.notice_columns)
+    return c.schema_fingerprint(
+        t.notice_docs.withColumn("document_type_label", F.lit("Order notice")),
+        t.notice_fields.withColumn("section_label", F.concat(F.lit("Part "), "section_id")),
+        t.notice_columns.withColumn("table_label", F.concat(F.lit("List of "), "table_id")),
+        t.notice_options,
+    )
 
 
 def _discovered_issue(kind: str, text: str = "v_str") -> str:

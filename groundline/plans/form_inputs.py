@@ -209,7 +209,11 @@ SELECT k AS doc_id, CASE k % 5 WHEN 0 THEN 'total' WHEN 1 THEN 'items' WHEN 2 TH
 # --- responses, attempts and failures from the event log ------------------------------
 INPUTS["responses"] = """
 SELECT event_id AS doc_id, CASE event_id % 9 WHEN 0 THEN '  ' WHEN 1 THEN NULL WHEN 2 THEN concat(props, '}')
-         WHEN 3 THEN '[1, 2]' WHEN 4 THEN '{"k": "seven"}' WHEN 5 THEN '{"k": null, "x": true}' ELSE props END AS body
+         WHEN 3 THEN '[1, 2]' WHEN 4 THEN '{"k": "seven"}' WHEN 5 THEN '{"k": null, "x": true}'
+         WHEN 6 THEN concat('{"fields": {"a.b": "dotted", "parties": ["one", null, "two"], "none": [], "paid": ', CASE user_id % 2 WHEN 0 THEN 'true' ELSE 'null' END,
+           ', "total": ', CAST(user_id AS STRING), '.5}, "tables": {"items": [{"part": "P-', CAST(event_id AS STRING), '", "quantity": ', CAST(user_id AS STRING),
+           '}, {"part": null, "paid": false}], "fees": []}}')
+         ELSE props END AS body
 FROM @events
 """
 INPUTS["attempt_log"] = """

@@ -133,20 +133,26 @@ def fill_plan(t: Tables) -> DataFrame:
     return rv.fill_plan(documents, fields, t.order_options, templates, t.order_values).drop("file_name")
 
 
+_SCALAR = """CASE WHEN v_num IS NOT NULL THEN CASE WHEN v_num = floor(v_num) THEN CAST(CAST(v_num AS BIGINT) AS VARCHAR)
+  ELSE CAST(v_num AS VARCHAR) END WHEN v_bool IS NOT NULL THEN CAST(v_bool AS VARCHAR) WHEN v_str IS NOT NULL THEN CAST(to_json(v_str) AS VARCHAR) ELSE 'null' END"""
+
+
 @query(f"""WITH bad AS ({_discovered_sql(True)}),
-j AS (SELECT doc_id, string_agg('"' || field_id || '":' || CASE WHEN v_num IS NOT NULL THEN CASE WHEN v_num = floor(v_num)
-    THEN CAST(CAST(v_num AS BIGINT) AS VARCHAR) ELSE CAST(v_num AS VARCHAR) END WHEN v_bool IS NOT NULL THEN CAST(v_bool AS VARCHAR)
-    WHEN v_str IS NOT NULL THEN CAST(to_json(v_str) AS VARCHAR) ELSE 'null' END, ',' ORDER BY field_id) AS body
-  FROM raw_field_values WHERE field_id <> 'parties' GROUP BY doc_id)
-SELECT d.doc_id, '{{"documentType":"order_notice","schemaVersion":1,"values":{{' || body || '}}}}' AS payload,
+i AS (SELECT doc_id, field_id, CASE WHEN max(item_ix) IS NULL THEN min({_SCALAR})
+    ELSE '[' || coalesce(string_agg({_SCALAR}, ',' ORDER BY item_ix) FILTER (item_ix >= 0), '') || ']' END AS x FROM raw_field_values GROUP BY ALL),
+j AS (SELECT doc_id, string_agg('"' || field_id || '":' || x, ',' ORDER BY field_id) AS body FROM i GROUP BY ALL),
+l AS (SELECT doc_id, table_id, row_ix, '{{' || string_agg('"' || column_id || '":' || {_SCALAR}, ',' ORDER BY column_id) || '}}' AS x
+  FROM raw_cell_values GROUP BY ALL),
+m AS (SELECT doc_id, table_id, '[' || string_agg(x, ',' ORDER BY row_ix) || ']' AS x FROM l GROUP BY ALL),
+n AS (SELECT doc_id, string_agg('"' || table_id || '":' || x, ',' ORDER BY table_id) AS cells FROM m GROUP BY ALL)
+SELECT d.doc_id, '{{"documentType":"order_notice","schemaVersion":1,"values":{{"fields":{{' || body || '}},"tables":{{' || coalesce(cells, '') || '}}}}}}' AS payload,
   CASE WHEN title IS NULL THEN 'order_notice' ELSE 'Order-notice-' || d.doc_id END || '.json' AS file_name
-FROM notice_docs d JOIN j USING (doc_id) WHERE d.doc_id NOT IN (SELECT doc_id FROM bad)""")
+FROM notice_docs d JOIN j USING (doc_id) LEFT JOIN n USING (doc_id) WHERE d.doc_id NOT IN (SELECT doc_id FROM bad)""")
 def exported_values(t: Tables) -> DataFrame:
     broken = validate_discovered(
         t.notice_docs, t.notice_fields, t.notice_options, t.notice_columns, t.raw_field_values, t.raw_cell_values, True
     )
-    single = t.raw_field_values.filter(F.col("field_id") != "parties")
-    return rv.export_reviewed(t.notice_docs, broken, single)
+    return rv.export_reviewed(t.notice_docs, broken, t.raw_field_values, t.raw_cell_values)
 
 
 @query("""SELECT time_bucket(INTERVAL 1 DAY, CAST(ts AS TIMESTAMP)) AS window_start, user_id AS client, count(*) AS requests, count(*) > 2 AS over_limit

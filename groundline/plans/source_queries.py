@@ -267,6 +267,36 @@ def parsed_responses(t: Tables) -> DataFrame:
     return failed.unionByName(values)
 
 
+_VALUE = """CASE WHEN json_type(x) = 'VARCHAR' THEN x ->> '$' END AS v_str,
+  CASE WHEN json_type(x) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(x ->> '$' AS DOUBLE) END AS v_num,
+  CASE WHEN json_type(x) = 'BOOLEAN' THEN CAST(x ->> '$' AS BOOLEAN) END AS v_bool"""
+
+
+@query(f"""WITH r AS (SELECT doc_id, CAST(body AS JSON) AS j FROM (SELECT * FROM responses WHERE json_valid(body)) x WHERE json_type(body) = 'OBJECT'),
+f AS (SELECT doc_id, k, json_extract(j, '$.fields."' || k || '"') AS v FROM (SELECT doc_id, j, unnest(json_keys(j, '$.fields')) AS k FROM r) x),
+n AS (SELECT doc_id, k, ix, json_extract(v, '$[' || ix || ']') AS x
+    FROM (SELECT doc_id, k, v, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS ix FROM f WHERE json_type(v) = 'ARRAY') y
+  UNION ALL SELECT doc_id, k, -1, NULL FROM f WHERE json_type(v) = 'ARRAY' AND json_array_length(v) = 0
+  UNION ALL SELECT doc_id, k, NULL, v FROM f WHERE json_type(v) <> 'ARRAY'),
+t AS (SELECT doc_id, k, json_extract(j, '$.tables."' || k || '"') AS v FROM (SELECT doc_id, j, unnest(json_keys(j, '$.tables')) AS k FROM r) x),
+l AS (SELECT doc_id, k, ix, json_extract(v, '$[' || ix || ']') AS v FROM (SELECT doc_id, k, v, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS ix FROM t) x),
+c AS (SELECT doc_id, k, ix, c, json_extract(v, '$."' || c || '"') AS x FROM (SELECT doc_id, k, ix, v, unnest(json_keys(v)) AS c FROM l) y
+  UNION ALL SELECT doc_id, k, -1, NULL, NULL FROM t WHERE json_array_length(v) = 0)
+SELECT doc_id, 'field' AS owner_kind, k AS owner_id, CAST(ix AS INT) AS place, CAST(NULL AS VARCHAR) AS column_id, {_VALUE} FROM n
+UNION ALL SELECT doc_id, 'table', k, CAST(ix AS INT), c, {_VALUE} FROM c""")
+def response_rows(t: Tables) -> DataFrame:
+    parsed = rs.parse_responses(t.responses)
+    value = ["v_str", "v_num", "v_bool"]
+    fields = rs.response_field_values(parsed).select(
+        "doc_id", F.lit("field").alias("owner_kind"), F.col("field_id").alias("owner_id"), F.col("item_ix").alias("place"),
+        F.lit(None).cast("string").alias("column_id"), *value,
+    )
+    cells = rs.response_cell_values(parsed).select(
+        "doc_id", F.lit("table").alias("owner_kind"), F.col("table_id").alias("owner_id"), F.col("row_ix").alias("place"), "column_id", *value
+    )
+    return fields.unionByName(cells)
+
+
 @query("""WITH s AS (SELECT doc_id, stage, batch_id, min(attempt) FILTER (valid) AS accepted_attempt, max(attempt) AS last_attempt,
   arg_max({m: mode, c: correction, s: least(budget, content_chars), h: http_status, g: generated_mismatch}, attempt) AS l
   FROM attempt_log GROUP BY ALL),

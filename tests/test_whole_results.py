@@ -6,8 +6,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from groundline.operators import review
+from groundline.functions.text import safe_stem
+from groundline.operators import catalog, responses, review
 from groundline.operators.evidence import match_evidence
+from groundline.operators.requests import safe_schema_name
 from groundline.session import ensure_checkpoint_dir
 from groundline.sources import html, layout
 from groundline.sources.registered import load_fields
@@ -109,3 +111,62 @@ def test_reviews_evaluate_evidence_once(spark):
     assert once >= 1
     for name in ("discovered_summary", "discovered_warning_rows", "value_reviews", "table_reviews"):
         assert evaluations(name) == once
+
+
+def test_nested_bodies_become_value_rows(spark):
+    body = {
+        "fields": {"a.b": "x", "many": ["p", 2, None], "none": [], "gone": None, "deep": {"k": 1}},
+        "tables": {"items": [{"part": "P", "n": 1.5, "paid": True}, {}], "fees": [], "odd": 7},
+    }
+    rows = [(1, json.dumps(body)), (2, "{}"), (3, '{"fields": 1, "tables": [2]}'), (4, "[]"), (5, None)]
+    parsed = responses.parse_responses(spark.createDataFrame(rows, "doc_id long, body string"))
+    fields = [tuple(r) for r in responses.response_field_values(parsed).drop("v_bool").collect()]
+    assert sorted(fields, key=str) == sorted([
+        (1, "a.b", None, "x", None, "STRING"), (1, "many", 0, "p", None, "STRING"), (1, "many", 1, None, 2.0, "BIGINT"),
+        (1, "many", 2, None, None, "VOID"), (1, "none", -1, None, None, None), (1, "gone", None, None, None, "VOID"),
+        (1, "deep", None, None, None, "OBJECT<k: BIGINT>"),
+    ], key=str)
+    cells = [tuple(r) for r in responses.response_cell_values(parsed).drop("value_kind").collect()]
+    assert sorted(cells, key=str) == sorted([
+        (1, "items", 0, "part", "P", None, None), (1, "items", 0, "n", None, 1.5, None), (1, "items", 0, "paid", None, None, True),
+        (1, "items", 1, None, None, None, None), (1, "fees", -1, None, None, None, None), (1, "odd", None, None, None, None, None),
+    ], key=str)
+    flat = responses.parse_responses(spark.createDataFrame([(1, '{"a.b": "dotted", "it\'s": 2}')], "doc_id long, body string"))
+    assert {r.field_id: (r.v_str, r.v_num) for r in responses.response_values(flat).collect()} == {"a.b": ("dotted", None), "it's": (None, 2.0)}
+
+
+def test_export_holds_lists_and_tables(spark):
+    docs = spark.createDataFrame([(1, "notice", "A title"), (2, "notice", None), (3, "notice", "bad")], "doc_id long, document_type string, title string")
+    bad = spark.createDataFrame([(3,)], "doc_id long")
+    kind = "v_str string, v_num double, v_bool boolean"
+    fields = [(1, "b", 1, "second", None, None), (1, "b", 0, 'first "one"', None, None), (1, "a", None, None, 2.0, None), (1, "e", -1, None, None, None), (1, "n", None, None, None, None), (3, "a", None, "x", None, None)]
+    cells = [(1, "t", 10, "c", "eleventh", None, None), (1, "t", 2, "c", None, None, True), (1, "t", 2, "a", None, 1.5, None), (1, "u", -1, None, None, None, None)]
+    got = review.export_reviewed(
+        docs, bad, spark.createDataFrame(fields, f"doc_id long, field_id string, item_ix int, {kind}"),
+        spark.createDataFrame(cells, f"doc_id long, table_id string, row_ix int, column_id string, {kind}"),
+    )
+    values = {r.doc_id: json.loads(r.payload)["values"] for r in got.collect()}
+    assert values == {
+        1: {"fields": {"a": 2, "b": ['first "one"', "second"], "e": [], "n": None}, "tables": {"t": [{"a": 1.5, "c": True}, {"c": "eleventh"}], "u": []}},
+        2: {"fields": {}, "tables": {}},
+    }
+
+
+def test_schemas_that_differ_in_one_label_or_option_differ(spark):
+    def print_of(section="S", option="O", kind="Notice", table="T"):
+        schemas = spark.createDataFrame([(1, "n", kind, "en", "t")], "schema_id long, document_type string, document_type_label string, language string, title string")
+        fields = spark.createDataFrame([(1, 0, 0, "s", section, "f", "F", "", "select", False, True)], "schema_id long, section_ix int, ordinal int, section_id string, section_label string, field_id string, label string, description string, value_type string, repeatable boolean, required boolean")
+        columns = spark.createDataFrame([(1, 0, 0, "t", table, "c", "C", "", "text", True)], "schema_id long, table_ix int, ordinal int, table_id string, table_label string, column_id string, label string, description string, value_type string, required boolean")
+        options = spark.createDataFrame([(1, "f", 0, "v", option)], "schema_id long, field_id string, option_ix int, value string, label string")
+        return catalog.schema_fingerprint(schemas, fields, columns, options).first().fingerprint
+
+    assert len({print_of(), print_of(section="X"), print_of(option="X"), print_of(kind="X"), print_of(table="X")}) == 5
+    assert print_of() == print_of()
+
+
+def test_long_names_that_share_a_prefix_differ(spark):
+    rows = spark.createDataFrame([("x" * 100 + end,) for end in "ab"] + [("short",)], "name string")
+    stems = [r[0] for r in rows.select(safe_stem(F.col("name"))).collect()]
+    names = [r[0] for r in rows.select(safe_schema_name(F.col("name"))).collect()]
+    assert len(set(stems)) == 3 and [len(s) for s in stems] == [80, 80, 5]
+    assert len(set(names)) == 3 and [len(n) for n in names] == [56, 56, 13] and names[2] == "extract_short"
