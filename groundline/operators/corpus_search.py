@@ -20,7 +20,7 @@ from groundline.operators.fixed_matching import (
     fuzzy_window,
     least_overlap,
 )
-from groundline.session import ensure_checkpoint_dir, fits_broadcast
+from groundline.session import bytes_fit_broadcast, ensure_checkpoint_dir, fits_broadcast
 
 
 def value_forms(values: DataFrame) -> DataFrame:
@@ -101,14 +101,18 @@ def _source_keys(pieces: bool) -> Column:
 def candidate_pairs(forms: DataFrame, keys: DataFrame, sources: DataFrame) -> DataFrame:
     """Value and document pairs that share a key, each once, with their forms.
 
-    While the keys fit a broadcast the documents are not shuffled at all: a pair is kept at
-    the first of the value's keys that the document has. Beyond that size the keys of the
-    documents are shuffled without their text, and the text is joined to the pairs found.
+    While the keys and forms of the values fit a broadcast, in rows and in bytes, the documents
+    are not shuffled at all: a pair is kept at the first of the value's keys that the document
+    has. Beyond that size the keys of the documents are shuffled without their text, and the
+    text is joined to the pairs found. Keys that many documents have spread over the documents
+    in the first way; in the second the adaptive join splits them. A value of one or two signs
+    meets every document that holds them: such pairs are results, and cost as much.
     """
     pieces = not keys.filter(F.col("key").startswith("~")).isEmpty()
     listed = keys.groupBy("value_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    if fits_broadcast(keys):
-        asked = forms.join(listed, "value_id").withColumn("key", F.explode("keys"))
+    asked = forms.join(listed, "value_id").withColumn("key", F.explode("keys"))
+    carried = F.length("v_minimal") + F.length("v_search") + F.length(F.array_join("keys", " "))
+    if fits_broadcast(keys) and bytes_fit_broadcast(asked, carried):
         held = sources.withColumn("held", _source_keys(pieces))
         met = held.withColumn("key", F.explode("held")).join(F.broadcast(asked), "key")
         first = F.array_min(F.array_intersect("keys", "held"))

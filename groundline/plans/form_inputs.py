@@ -244,6 +244,12 @@ SELECT event_id AS request_id,
 FROM @events
 """
 
+# --- passages as they are, and once more with their last word changed -----------------
+INPUTS["passage_values"] = """
+SELECT concat('P', CAST(item_id AS STRING)) AS value_id, text FROM @benchmark
+UNION ALL SELECT concat('Q', CAST(item_id AS STRING)), regexp_replace(text, '[^ ]+$', 'otherwise') FROM @benchmark
+"""
+
 # --- reviewer edits -------------------------------------------------------------------
 INPUTS["edits"] = """
 SELECT k AS doc_id, CAST(seq AS BIGINT) AS seq,

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A broadcast side may hold this many narrow rows; beyond it the jobs shuffle.
 BROADCAST_ROW_LIMIT = 200_000
+# And rows that carry text as many characters in all, each at most four bytes.
+BROADCAST_CHARACTER_LIMIT = 32_000_000
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -41,3 +44,7 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
     """Count a side, stopping just past the limit, before it may be broadcast."""
     return df.limit(limit + 1).count() <= limit
 
+
+def bytes_fit_broadcast(df: DataFrame, characters: Column, limit: int = BROADCAST_CHARACTER_LIMIT) -> bool:
+    """Add up the characters a side carries before it may be broadcast."""
+    return (df.agg(F.sum(characters)).first()[0] or 0) <= limit
