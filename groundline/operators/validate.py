@@ -151,8 +151,18 @@ def _is_null() -> Column:
     return F.coalesce("v_str", F.col("v_num").cast("string"), F.col("v_bool").cast("string")).isNull()
 
 
+def drop_undeclared(values: DataFrame, declared: DataFrame) -> DataFrame:
+    """Value rows whose schema declares any field (or, for cells, any column) at all."""
+    return values.join(declared.select("schema_id").distinct(), "schema_id", "left_semi").select(*values.columns)
+
+
 def normalize_values(values: DataFrame, fields: DataFrame) -> DataFrame:
-    """An empty list becomes null. A list is a row per ``item_ix``, an empty one has -1."""
+    """An empty list becomes null. A list is a row per ``item_ix``, an empty one has -1.
+
+    A schema without fields has no values, whatever was given; :func:`drop_undeclared` does the
+    same for the cells of a schema without tables.
+    """
+    values = drop_undeclared(values, fields)
     repeatable = fields.select("schema_id", "field_id", "repeatable")
     rows = values.join(repeatable, ["schema_id", "field_id"], "left")
     empty = F.coalesce(F.col("repeatable"), F.lit(False)) & (F.col("item_ix") == -1)
@@ -239,14 +249,15 @@ def validate_discovered(
     return found.unionByName(long_lists).unionByName(long_tables)
 
 
-def merge_batches(values: DataFrame) -> DataFrame:
-    """A key given by several batches keeps all its items from the last of them."""
-    latest = Window.partitionBy("doc_id", "field_id")
-    return (
-        values.withColumn("last", F.max("batch_ix").over(latest))
-        .filter(F.col("batch_ix") == F.col("last"))
-        .drop("last", "batch_ix")
-    )
+def merge_batches(values: DataFrame, owner: str = "field_id") -> DataFrame:
+    """A field given by several batches keeps all its items from the last of them.
+
+    With ``owner="table_id"`` the same holds for the rows and cells of a table. The last batch is
+    found by a pre-aggregated maximum, so no field with many items is gathered.
+    """
+    last = values.groupBy(F.col("doc_id").alias("d"), F.col(owner).alias("o")).agg(F.max("batch_ix").alias("last"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col(owner).eqNullSafe(F.col("o")) & (F.col("batch_ix") == F.col("last"))
+    return values.join(last, same, "left_semi").drop("batch_ix")
 
 
 def violation_summary(violations: DataFrame) -> DataFrame:

@@ -286,6 +286,18 @@ def merged_batches(t: Tables) -> DataFrame:
     return merge_batches(lines)
 
 
+@query("""SELECT l_orderkey AS doc_id, 'flag_' || l_linestatus AS table_id, l_partkey AS row_ix, unnest(['quantity', 'tax']) AS column_id,
+  unnest([CAST(l_quantity AS DOUBLE), CAST(l_tax AS DOUBLE)]) AS v_num
+FROM (SELECT * FROM @lineitem QUALIFY l_linenumber = max(l_linenumber) OVER (PARTITION BY l_orderkey, l_linestatus)) x""")
+def merged_tables(t: Tables) -> DataFrame:
+    cells = F.create_map(F.lit("quantity"), F.col("l_quantity").cast("double"), F.lit("tax"), F.col("l_tax").cast("double"))
+    lines = t.given("lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("flag_"), "l_linestatus").alias("table_id"),
+        F.col("l_partkey").alias("row_ix"), F.col("l_linenumber").alias("batch_ix"), F.explode(cells).alias("column_id", "v_num"),
+    )
+    return merge_batches(lines, "table_id")
+
+
 @query(f"""WITH e AS (SELECT d.doc_id, d.schema_id, f.field_key, f.required, v.v_str IS NOT NULL OR v.v_num IS NOT NULL AS present,
     r.status, r.confidence FROM order_docs d JOIN order_schema f ON f.schema_id = d.schema_id
   LEFT JOIN order_values v ON v.doc_id = d.doc_id AND v.schema_id = f.schema_id AND v.field_key = f.field_key

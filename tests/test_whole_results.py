@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundline.functions.text import safe_stem
-from groundline.operators import catalog, responses, review
+from groundline.operators import catalog, responses, review, validate
 from groundline.operators.evidence import match_evidence
 from groundline.operators.requests import safe_schema_name
 from groundline.session import ensure_checkpoint_dir
@@ -170,3 +170,14 @@ def test_long_names_that_share_a_prefix_differ(spark):
     names = [r[0] for r in rows.select(safe_schema_name(F.col("name"))).collect()]
     assert len(set(stems)) == 3 and [len(s) for s in stems] == [80, 80, 5]
     assert len(set(names)) == 3 and [len(n) for n in names] == [56, 56, 13] and names[2] == "extract_short"
+
+
+def test_merged_batches_and_schemas_without_fields(spark):
+    values = spark.createDataFrame(
+        [(1, "f", 0, "old", 1), (1, "f", 0, "new", 2), (1, "f", 1, "new too", 2), (1, "g", None, "only", 1), (None, "f", 0, "no id", 1)],
+        "doc_id long, field_id string, item_ix int, v_str string, batch_ix int",
+    )
+    assert {r.v_str for r in validate.merge_batches(values).collect()} == {"new", "new too", "only", "no id"}
+    given = spark.createDataFrame([(1, 1, "list", -1, None), (1, 1, "ghost", None, "x"), (2, 2, "ghost", None, "y")], "doc_id long, schema_id long, field_id string, item_ix int, v_str string")
+    fields = spark.createDataFrame([(1, "list", True)], "schema_id long, field_id string, repeatable boolean")
+    assert sorted((r.doc_id, r.field_id, r.item_ix) for r in validate.normalize_values(given, fields).collect()) == [(1, "ghost", None), (1, "list", None)]
