@@ -113,8 +113,9 @@ e AS (SELECT *, sum(CASE tag WHEN '/' THEN -1 WHEN '' THEN 0 ELSE 1 END) OVER (P
 b AS (SELECT page_id, block_ix, body, coalesce(last_value(CASE WHEN tag NOT IN ('', '/') THEN tag END IGNORE NULLS)
   OVER (PARTITION BY page_id, depth ORDER BY block_ix), 'body') AS element FROM e)
 SELECT doc_id, block_ix, element, md5(content) AS content_md5 FROM (SELECT page_id AS doc_id, block_ix, element,
-  trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'),
-    '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS content FROM b) x WHERE content <> ''""")
+  trim(regexp_replace(html_unescaped, '\s+', ' ', 'g')) AS content FROM
+  (SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'),
+    '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS html_unescaped FROM b) y) x WHERE content <> ''""")
 def html_page_blocks(t: Tables) -> DataFrame:
     return html.html_blocks(t.given("pages")).withColumn("content_md5", F.md5("content")).drop("content")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,33 +12,30 @@ from groundline.functions.text import collapse
 # The elements that become blocks. Dropped elements hold no visible text.
 BLOCK_ELEMENTS = ("title", "h1", "h2", "h3", "p", "li", "div", "footer")
 DROPPED_ELEMENTS = ("script", "style")
-# The entities decoded; the ampersand comes last so nothing decodes twice.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
-)
+# The named characters of HTML 4, from the standard library; a hard blank is a blank here.
+NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 
 
-def numeric_entities(text: Column) -> Column:
-    """Decimal and hexadecimal character numbers decoded; what names no character stays as it is."""
+def decoded_entities(text: Column) -> Column:
+    """Named and numbered characters decoded, each once; what names no character stays as it is."""
+    names = F.create_map(*(F.lit(part) for pair in sorted(NAMED.items()) for part in pair))
 
     def decoded(piece: Column) -> Column:
-        number = F.regexp_extract(piece, r"^([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});", 1)
-        hexadecimal = F.lower(F.left(number, F.lit(1))) == "x"
-        code = F.when(hexadecimal, F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).try_cast("bigint")
+        name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        hexadecimal = F.lower(F.left(name, F.lit(2))) == "#x"
+        code = F.when(hexadecimal, F.conv(F.substring(name, 3, 6), 16, 10)).when(F.left(name, F.lit(1)) == "#", F.substring(name, 2, 7))
+        code = code.try_cast("bigint")
         valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(valid, F.concat(char, F.substr(piece, F.length(number) + 2))).otherwise(F.concat(F.lit("&#"), piece))
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(name != "", F.try_element_at(names, name))
+        return F.coalesce(F.concat(char, F.substr(piece, F.length(name) + 2)), F.concat(F.lit("&"), piece))
 
-    pieces = F.split(text, "&#")
+    pieces = F.split(text, "&")
     rest = F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), decoded), "")
-    return F.when(F.contains(text, F.lit("&#")), F.concat(F.get(pieces, F.lit(0)), rest)).otherwise(text)
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(pieces, F.lit(0)), rest)).otherwise(text)
 
 
 def visible_text(fragment: Column) -> Column:
-    text = numeric_entities(F.regexp_replace(fragment, "<[^>]*>", " "))
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return collapse(text)
+    return collapse(decoded_entities(F.regexp_replace(fragment, "<[^>]*>", " ")))
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:

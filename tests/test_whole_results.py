@@ -181,3 +181,9 @@ def test_merged_batches_and_schemas_without_fields(spark):
     given = spark.createDataFrame([(1, 1, "list", -1, None), (1, 1, "ghost", None, "x"), (2, 2, "ghost", None, "y")], "doc_id long, schema_id long, field_id string, item_ix int, v_str string")
     fields = spark.createDataFrame([(1, "list", True)], "schema_id long, field_id string, repeatable boolean")
     assert sorted((r.doc_id, r.field_id, r.item_ix) for r in validate.normalize_values(given, fields).collect()) == [(1, "ghost", None), (1, "list", None)]
+
+
+def test_characters_are_decoded_once_by_name_or_number(spark):
+    page = "<p>caf&eacute; &lt;b&gt; &amp;lt; &#38;gt; &#x41;&#66; it&apos;s&nbsp;5&euro; &unknown; &#0; A&B &; x&amp</p>"
+    got = html.html_blocks(spark.createDataFrame([(1, page)], "page_id long, html string")).first().content
+    assert got == "caf\u00e9 <b> &lt; &gt; AB it's 5\u20ac &unknown; &#0; A&B &; x&amp"
