@@ -167,3 +167,43 @@ def test_language_models_without_rows_or_target(spark):
     assert lm.score_difference(documents(spark, []), models, PATH).count() == 0
     none = lm.gather(documents(spark), F.lit(None).cast("boolean"), PATH)
     assert all(np.isfinite(r.score) for r in lm.score_difference(documents(spark), none, PATH).collect())
+
+
+def exact_losses(rows, target):
+    """Mean losses of each row from dictionaries of whole pairs."""
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(PATH)
+    ids = [tok.encode(r[1], add_special_tokens=False).ids for r in rows]
+    chosen = {"t": [s for s, r in zip(ids, rows, strict=True) if r[0] in target], "b": ids}
+    single = {m: Counter(t for s in seqs for t in s) for m, seqs in chosen.items()}
+    pairs = {m: Counter(p for s in seqs for p in zip(s, s[1:], strict=False)) for m, seqs in chosen.items()}
+    total = single["t"].total()
+    scale = {"t": 1.0, "b": total / single["b"].total()}
+
+    def loss(m, before, token):
+        alone = (scale[m] * single[m][token] + lm.TOKEN_WEIGHT) / (total + lm.TOKEN_WEIGHT * lm.VOCABULARY)
+        pair, context = scale[m] * pairs[m][before, token], scale[m] * single[m][before]
+        return -np.log((pair + lm.BIGRAM_WEIGHT * alone) / (context + lm.BIGRAM_WEIGHT))
+
+    out = [tuple(sum(loss(m, *p) for p in zip([None, *s], s, strict=False)) / len(s) for m in "tb") for s in ids]
+    return out, len(pairs["b"])
+
+
+@pytest.mark.parametrize("limit", [None, 700, 0])
+def test_pairs_are_counted_exactly_also_beyond_what_is_broadcast(spark, limit):
+    import random
+
+    dice = random.Random(8)
+    names = [a + b for a in ("ba", "do", "fe", "gi", "ku", "la", "mo", "ne", "pa", "ri", "so", "te", "wa") for b in ("rn", "st", "ll", "mp", "nd", "ck", "rt", "ss")]
+    rows = [(n, " ".join(dice.choices(names, k=1500)), "en", "s", 0) for n in range(24)]
+    rows += [rows[2], rows[2], (None, rows[3][1], "en", "s", 0)]
+    docs = documents(spark, rows).repartition(3)
+    want, n_pairs = exact_losses(rows, {n for n in range(24) if n % 3 == 0})
+    models = lm.gather(docs, F.col("doc_id") % 3 == 0, PATH, **({} if limit is None else {"part": 500}))
+    scored = lm.score_difference(docs, models, PATH, **({} if limit is None else {"limit": limit}))
+    got = sorted(((r.doc_id is None, r.doc_id, r.target_loss, r.background_loss) for r in scored.collect()), key=lambda r: (r[0], r[1] or 0))
+    assert np.allclose([r[2:] for r in got], [w for _, w in sorted(zip(rows, want, strict=True), key=lambda x: (x[0][0] is None, x[0][0] or 0))], rtol=1e-5)
+    assert models.pairs.count() == n_pairs > 3000
