@@ -91,10 +91,14 @@ FAMILIES = [
 _GRANT = r"(?:(?:is |are )?(?:licen[sc]ed|released|distributed|available|provided|redistribut\w+|covered|published) )?(?:under|subject to|according to)(?: the)?(?: terms of| terms and conditions of| conditions of)?(?: the)? "
 _TAG = r"(?:spdx license identifier|licen[sc]e identifier|spdx id|licen[sc]e spdx) "
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_ANCHORS = (b"licens", b"licenc", b"copyleft", b"rights reserved", b"public domain", b"creative", b"spdx", b"gpl", b"cc0", b"documentation")
 _SHORT = re.compile(rb"cc[^0-9a-z\x80-\xff]+by[^0-9a-z\x80-\xff]")
 
 
+def needed(body: str) -> list[str]:
+    """The parts that every text of a rule's pattern contains: what is optional or has alternatives is left out."""
+    return [part for part in re.sub(r"\([^()]*\)\??|\[[^]]*\]\??|.\?", "\n", body).split("\n") if part.strip()]
+
+
 class Rule(NamedTuple):
     label: str
     kind: str
@@ -111,10 +115,13 @@ def rules() -> dict[bytes, list[Rule]]:
         pattern = re.compile(rb"(?<= )(?:" + body.encode() + rb")(?= )")
         table.setdefault(keyword.encode(), []).append(Rule(label, kind, keyword.encode(), pattern))
 
-    for label, keyword, names, tags, addresses in FAMILIES:
+    for label, usual, names, tags, addresses in FAMILIES:
         for name in names:
-            add(label, "grant", "gpl" if name.startswith("gpl") or name == "gnu gpl" else "creative" if name.startswith("creative") else keyword, _GRANT + "(?:" + name + ")")
-            add(label, "title", "gpl" if name.startswith("gpl") or name == "gnu gpl" else "creative" if name.startswith("creative") else keyword, name)
+            keyword = "gpl" if name.startswith("gpl") or name == "gnu gpl" else "creative" if name.startswith("creative") else usual
+            if not any(keyword in part for part in needed(name)):
+                keyword = max(needed(name), key=len)
+            add(label, "grant", keyword, _GRANT + "(?:" + name + ")")
+            add(label, "title", keyword, name)
         for tag in tags:
             add(label, "tag", "identifier", _TAG + "(?:" + tag + ")")
             add(label, "tag", "spdx", _TAG + "(?:" + tag + ")")
@@ -124,6 +131,20 @@ def rules() -> dict[bytes, list[Rule]]:
     return table
 
 
+@lru_cache(maxsize=1)
+def anchors() -> tuple[bytes, ...]:
+    """Parts of single words; a text to which a rule or base phrase applies holds one of them or ``_SHORT``.
+
+    Every tag of a rule stands behind one of the first two.
+    """
+    found = ["licen", "spdx"]
+    for body in [*BASE_PHRASES, *(body for _, _, names, _, addresses in FAMILIES for body in (*names, *addresses))]:
+        parts = needed(body)
+        if not any("cc by " in f"{part} " for part in parts) and not any(a in part for a in found for part in parts):
+            found.append(max((word for part in parts for word in part.split()), key=len))
+    return tuple(a.encode() for a in found)
+
+
 class Detection(NamedTuple):
     first: int
     last: int
@@ -158,7 +179,7 @@ def resolve(found: list[Detection]) -> list[Detection]:
 
 def scan(text: bytes) -> tuple[list[tuple[int, str]], list[Detection]]:
     """Base places (first word, label) and resolved detections of a text whose A-Z are lower-cased."""
-    if not (any(a in text for a in _ANCHORS) or (b"cc" in text and _SHORT.search(text))):
+    if not (any(a in text for a in anchors()) or (b"cc" in text and _SHORT.search(text))):
         return [], []
     spaced = b" " + b" ".join(_WORD.findall(text)) + b" "
     # word i stands behind the i-th blank

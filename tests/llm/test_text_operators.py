@@ -146,3 +146,38 @@ def test_counts_against_brute_force():
     for n, text in enumerate(texts):
         assert tuple(int(found.counts[c][n]) for c in doc_stats.COUNTS) == counts_by_hand(text), text
     assert doc_stats.stats(pa.array([], pa.string())).features.shape == (0, len(doc_stats.FEATURES))
+
+
+def examples(body):
+    """Texts of a pattern: without and with what is optional, by the first and by the last of alternatives."""
+    import re
+
+    for optional in (False, True):
+        for pick in (0, -1):
+            text, before = body.replace("\\w+", "x"), None
+            while text != before:
+                before = text
+                text = re.sub(r"\((?:\?:)?([^()]*)\)(\??)", lambda m: "" if m[2] and not optional else m[1].split("|")[pick], text)  # noqa: B023
+                text = re.sub(r"\[([^]]*)\](\??)", lambda m: "" if m[2] and not optional else m[1][pick], text)  # noqa: B023
+            yield re.sub(r"(.)\?", r"\1" if optional else "", text)
+
+
+def test_quick_tests_hide_no_rule():
+    every = [rule for group in licenses.rules().values() for rule in group]
+    for rule in every:
+        for text in examples(rule.pattern.pattern.decode().removeprefix("(?<= )(?:").removesuffix(")(?= )")):
+            spaced = f" {text} ".encode()
+            assert rule.pattern.search(spaced), (rule, text)
+            found = []
+            for other in every:
+                for m in other.pattern.finditer(spaced):
+                    first = spaced[: m.start()].count(b" ") - 1
+                    found.append(licenses.Detection(first, first + m.group().count(b" "), licenses.KINDS[other.kind][0], other.label, other.kind))
+            want = licenses.resolve(found)
+            for joint in (" ", "/", ".\n"):
+                assert licenses.scan(text.replace(" ", joint).encode())[1] == want, text
+    labels = lambda text: {d.label for d in licenses.scan(text)[1]}
+    assert labels(b"covered by https://www.mozilla.org/mpl/2.0/") == {"mpl-2"}
+    assert labels(b"released under the expat license") == {"mit"}
+    assert labels(b"the open data commons database license") == {"odbl-1"}
+    assert labels(b"all rights\nreserved") == {"proprietary"}
