@@ -219,3 +219,23 @@ def test_ranges_of_keys_hold_few_documents_of_every_weight(spark):
         rows = sorted(sized.collect())
         assert max(r.n for r in rows) < 15 * 400
         assert all(low.b <= high.a for low, high in zip(rows, rows[1:], strict=False))
+
+
+def test_nearest_spreads_a_frequent_id_and_keeps_its_equal_rows(spark):
+    rng = np.random.default_rng(3)
+    draw = lambda: rng.normal(size=16).tolist()
+    rows = [(n, draw()) for n in range(100, 400)] + [(40, draw()) for _ in range(200)]
+    rows += [(40, rows[300][1])] * 4 + [(41, draw())] * 90
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    vectors = rabitq.usable_vectors(table, "vec_id", "embedding")
+    blocks = rabitq.dealt(vectors, 8, 20).groupBy("cb").agg(F.sum("copies").alias("n")).collect()
+    assert len(blocks) == 8 and max(r.n for r in blocks) < 120
+    got = {}
+    for r in rabitq.nearest(table, F.col("vec_id") % 20 == 0, k=20, candidate_block=64, query_block=2, certainty=50.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score))
+    asked = {i: min(v for j, v in rows if j == i) for i in {r[0] for r in rows} if i % 20 == 0}
+    assert set(got) == set(asked)
+    for i, q in asked.items():
+        own = rows.index((i, q))
+        best = sorted((float(np.dot(q, v)) for at, (_, v) in enumerate(rows) if at != own), reverse=True)[:20]
+        assert np.allclose([s for _, s in sorted(got[i])], best)
