@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundline.llm import licenses, line_dedup, lm, mixing, packing, quality, quality_rules, rabitq, simhash, toxicity
+from groundline.llm import (
+    grid_codes,
+    licenses,
+    line_dedup,
+    lm,
+    mixing,
+    packing,
+    quality,
+    quality_rules,
+    rabitq,
+    reference_sql,
+    resampling,
+    simhash,
+    toxicity,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -106,8 +120,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document against the benchmark texts, and the ranks of the tenth that is drawn."""
+    drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code, error and error of the label's rows of every vector."""
+    coded, codebooks = grid_codes.compress(_table(spark, sf_dir, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(grid_codes.digest(codebooks)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_packing, op2_license_scan, op3_line_dedup, op4_nearest, op5_quality, op6_toxicity, op7_simhash, op8_lm_scores, op9_quality_rules, op10_mixing)
+    for q in (op1_packing, op2_license_scan, op3_line_dedup, op4_nearest, op5_quality, op6_toxicity, op7_simhash, op8_lm_scores, op9_quality_rules, op10_mixing, op11_resampling, op13_vector_codes)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": reference_sql.LINE_DEDUP,
+    "op11_resampling": reference_sql.RESAMPLING,
+    "op13_vector_codes": reference_sql.VECTOR_CODES,
+}
