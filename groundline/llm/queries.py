@@ -15,6 +15,7 @@ from groundline.llm import (
     lm,
     mixing,
     packing,
+    pii,
     quality,
     quality_rules,
     rabitq,
@@ -126,6 +127,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document: counts and digest of the base ones, and all."""
+    return pii.find_personal_data(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code, error and error of the label's rows of every vector."""
     coded, codebooks = grid_codes.compress(_table(spark, sf_dir, "embeddings"))
@@ -134,7 +140,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_packing, op2_license_scan, op3_line_dedup, op4_nearest, op5_quality, op6_toxicity, op7_simhash, op8_lm_scores, op9_quality_rules, op10_mixing, op11_resampling, op13_vector_codes)
+    for q in (op1_packing, op2_license_scan, op3_line_dedup, op4_nearest, op5_quality, op6_toxicity, op7_simhash, op8_lm_scores, op9_quality_rules, op10_mixing, op11_resampling, op12_personal_data, op13_vector_codes)
 }
 ORACLES: dict[str, str] = {
     "op3_line_dedup": reference_sql.LINE_DEDUP,
