@@ -3,9 +3,9 @@
 Base rules find plain addresses, network addresses, card and telephone numbers; what they find
 always stays. The field looks at the text around triggers (at signs, long numbers, account numbers,
 long mixed strings, words that announce a secret). There it cuts the text into tokens and considers
-every run of up to ``LONGEST`` tokens as a candidate of the kinds whose outline it has. A candidate is
-scored as a whole (checksums, number of digits, balance of brackets, announcing words before it,
-what touches its ends), neighbouring segments by their pair of kinds. Dynamic programming over
+every run of up to ``LONGEST`` tokens of a line as a candidate of the kinds whose outline it has. A
+candidate is scored as a whole (checksums, number of digits, balance of brackets, announcing words
+before it, what touches its ends), neighbouring segments by their pair of kinds. Dynamic programming over
 segments of bounded length picks the best cut into entities and single other tokens.
 
 Weights are fitted to sentences that a fixed rule makes, with spans of every kind and look-alikes
@@ -103,7 +103,7 @@ _ACCOUNTS = re.compile(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")
 _MIXED = re.compile(r"[A-Za-z0-9_-]{20,}+")
 _ANNOUNCED = re.compile(r"(?i:password|passwd|secret|token|api.?key|credential|bearer|pwd)", re.ASCII)
 _DIGIT = re.compile("[0-9]")
-_TOKEN = re.compile(r"[^\W_]+|[^\s]|_|\n")
+_TOKEN = re.compile(r"[^\W_]+|[^\s]")
 _BEFORE, _BEHIND = 80, 60  # characters kept on both sides of a trigger
 _AT = r"(?: ?@ ?| ?[(\[{]at[)\]}] ?)"
 _SPELT = r"(?: ?[(\[{]dot[)\]}] ?| dot )"
@@ -114,8 +114,8 @@ OUTLINES = (
         re.IGNORECASE,
     ),
     re.compile(r"[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
-    re.compile(r"[0-9](?:[ .-]?[0-9]){12,18}"),
-    re.compile(r"(?:\+|\(|00)?[0-9](?:[ ()./-]{0,2}[0-9]){6,14}"),
+    re.compile(r"[0-9]{13,19}|[0-9]{4}(?:[ .-][0-9]{4}){2}[ .-][0-9]{1,4}(?:[ .-][0-9]{1,3})?|[0-9]{4}[ .-][0-9]{6}[ .-][0-9]{5}"),
+    re.compile(r"(?:\+|\(|00[0-9]{1,3}[ ./-])[0-9](?:[ ()./-]{0,2}[0-9]){6,14}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"),
     re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
     re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     re.compile(r"[A-Za-z0-9][A-Za-z0-9_+/=.-]{6,}[A-Za-z0-9=]"),
@@ -150,15 +150,18 @@ def triggers(text: str) -> list[tuple[int, int]]:
 
 
 def windows(text: str) -> Iterator[Window]:
-    """Stretches around triggers, merged where they meet and cut between tokens."""
+    """Stretches of a line around triggers, merged where they meet and cut between tokens."""
     low = high = -1
     for start, end in triggers(text):
-        if low >= 0 and start - _BEFORE <= high:
-            high = max(high, end + _BEHIND)
+        left = max(0, start - _BEFORE, text.rfind("\n", max(0, start - _BEFORE), start) + 1)
+        newline = text.find("\n", end, end + _BEHIND)
+        right = newline if newline >= 0 else end + _BEHIND
+        if low >= 0 and left <= high:
+            high = max(high, right)
             continue
         if low >= 0:
             yield _window(text, low, high)
-        low, high = max(0, start - _BEFORE), end + _BEHIND
+        low, high = left, right
     if low >= 0:
         yield _window(text, low, high)
 
@@ -202,7 +205,6 @@ def _features(window: Window, first: int, after: int, kind: int, words: list[str
     names = ["kind", f"digits{min(len(digits), 20)}", f"left{_edge(before)}", f"right{_edge(behind)}"]
     near = [w for w in words[max(0, first - 6) : first] if w]
     names += ["heralded"] * any(w in HERALDS[kind] for w in near) + ["decoyed"] * any(w in DECOYS for w in near)
-    names += ["glued"] * (before.isalnum() or behind.isalnum() or (behind in "-_/@.+" and text[end + 1 : end + 2].isalnum()) or (before in "-_/@.+" and before != "" and text[max(0, start - 2) : start - 1].isalnum()))
     names += ["balanced"] if span.count("(") == span.count(")") and span.count("[") == span.count("]") else ["unbalanced"]
     if kind == 0:
         lowered = span.lower()
@@ -238,8 +240,16 @@ def _edge(c: str) -> str:
     return "end" if c in ("", "\n") else "blank" if c == " " else "digit" if c.isdigit() else "letter" if c.isalpha() else "quote" if c in "\"'`<>" else "other"
 
 
+def _glued(text: str, start: int, end: int, kind: int) -> bool:
+    """Whether a run goes on at one of its ends, by a letter, a digit or a joining mark before one."""
+    joining = "._%+-@" if kind == 0 else "-_/@.+"
+    before, behind = text[max(0, start - 2) : start], text[end : end + 2]
+    on_left = before[-1:].isalnum() or (len(before) == 2 and before[1] in joining and before[0].isalnum())
+    return on_left or behind[:1].isalnum() or (len(behind) == 2 and behind[0] in joining and behind[1].isalnum())
+
+
 def candidates(window: Window) -> list[Candidate]:
-    """Every run of tokens that has the outline of a kind, with its features."""
+    """Every run of tokens that has the outline of a kind and does not go on at its ends, with its features."""
     text, tokens = window.text, window.tokens
     words = [text[a:b].lower() for a, b in tokens]
     at = {a: n for n, (a, _) in enumerate(tokens)}
@@ -258,7 +268,7 @@ def candidates(window: Window) -> list[Candidate]:
             while end > start:
                 after = ends.get(end)
                 if after is not None and (end == m.end() or outline.fullmatch(text, start, end)):
-                    if kind != 6 or _secret_like(text[start:end], words, first):
+                    if not _glued(text, start, end, kind) and (kind != 6 or _secret_like(text[start:end], words, first)):
                         out.append(Candidate(at[start], after, kind, _features(window, first, after, kind, words)))
                 before = [b for _, b in tokens[first : ends.get(end, len(tokens))] if b < end]
                 end = before[-1] if before and kind != 6 else start

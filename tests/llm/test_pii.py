@@ -61,7 +61,7 @@ def test_base_rules_equal_the_plain_expressions():
         assert pii.spelt(pii.base_spans(text)) == spelt_by_hand(text), text
 
 
-@pytest.mark.parametrize("text", ["1" * 300_000, "a" * 300_000, "a@" * 150_000, "1." * 150_000, "+1" * 150_000, "a.b@c-" * 50_000, "4539148803436467 " * 3_000])
+@pytest.mark.parametrize("text", ["1" * 300_000, "a" * 300_000, "a@" * 50_000, "1." * 50_000, "12 " * 50_000, "+1" * 50_000, "a.b@c-" * 10_000, "4539148803436467 " * 3_000])
 def test_long_texts_of_one_kind_end(text, field):
     base, spans = pii.spans_of(text, field)
     assert set(base) <= set(spans)
@@ -94,7 +94,7 @@ def random_field(seed):
 
 def random_window(seed):
     rng = random.Random(seed)
-    n = rng.randrange(1, 8)
+    n = rng.randrange(1, 6)
     spans = {(a, b, k) for a, b in itertools.combinations(range(n + 1), 2) if b - a < 4 for k in range(3) if rng.random() < 0.2}
     return n, [pii.Candidate(a, b, k, tuple(rng.randrange(pii.WEIGHTS) for _ in range(3))) for a, b, k in sorted(spans)]
 
