@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundline.llm.shared import cut_lineage, row_key
+from groundline.llm.shared import cut_lineage, free_name, row_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
 WHOLE = 1.5
@@ -80,6 +80,24 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, whole:
     return running.withColumn("target", target).select("source", "source_size", "target")
 
 
+def _in_order(rows: DataFrame, per_range: int = DOCUMENTS_PER_RANGE) -> DataFrame:
+    """``rows`` and ``_within``: the sizes before each in its source and range, by key, id, size and text.
+
+    Rows are dealt by range of that whole order, so that very many rows of one id, or equal rows, are
+    split as well; sums of the parts, one number each, come before the order within a part.
+    """
+    order = [F.col("_key"), F.col("doc_id").asc_nulls_last(), F.col("size"), F.col("row_key"), F.col("_row")]
+    parts = max(1, -(-rows.count() // per_range))
+    dealt = cut_lineage(rows.repartitionByRange(parts, "source", "_range", *order).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("source", "_range", "_part").agg(F.sum("size").alias("_sum_of_part"))
+    earlier = F.sum("_sum_of_part").over(Window.partitionBy("source", "_range").orderBy("_part")) - F.col("_sum_of_part")
+    sums = sums.select(F.col("source").alias("_s2"), F.col("_range").alias("_r2"), F.col("_part").alias("_p2"), earlier.alias("_earlier"))
+    same = F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_range") == F.col("_r2")) & (F.col("_part") == F.col("_p2"))
+    within = Window.partitionBy("source", "_range", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("_in_part", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    return summed.join(sums, same).withColumn("_within", F.col("_earlier") + F.col("_in_part")).drop("_s2", "_r2", "_p2", "_part", "_earlier", "_in_part")
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -93,14 +111,15 @@ def mix(
     ``copies`` is how often the mix takes the document, ``taken`` is ``copies * size``. A source's
     taken words differ from its target by at most half the size of the document at which it is
     reached. Null texts have size 0; a null source is a source of its own. Documents without words
-    are taken in complete epochs only. Rows with the same id share a key and are told apart by size,
-    so reruns agree. Counts the rows (an action) and writes sizes and keys to the shared folder.
+    are taken in complete epochs only. Rows with the same id share a key and are told apart by size and
+    text, so reruns agree; equal rows are interchangeable. Counts the rows (an action) and writes sizes and keys to the shared folder.
     """
     ranges = ranges or max(1, -(-docs.count() // DOCUMENTS_PER_RANGE))
     quality = weight_of if weight_of is not None else quality_weight(F.col("text"))
     key = -F.log(uniform(F.col("doc_id"))) / quality
     rows = docs.select("doc_id", "source", row_key().alias("row_key"), word_count(F.col("text")).alias("size"), key.alias("_key"))
-    rows = cut_lineage(rows.withColumn("_range", key_range(F.col("_key"), ranges)))
+    # rows that equal each other in all else get an order of their own by a number that is written out
+    rows = cut_lineage(rows.withColumn("_range", key_range(F.col("_key"), ranges)).withColumn("_row", F.monotonically_increasing_id()))
     summed = rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     targets = source_targets(summed.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, whole, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -112,9 +131,9 @@ def mix(
     plan = plan.withColumn("_state", F.when(ends_here, 1).when(F.col("_before") + F.col("_sum") <= F.col("_rest"), 2).otherwise(0))
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     sure = joined.filter("_state <> 1").withColumn("_extra", F.when((F.col("_state") == 2) & (F.col("size") > 0), 1).otherwise(0))
-    within = Window.partitionBy("source", "_range").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    edge = joined.filter("_state = 1").withColumn("_extra", F.when((F.col("size") > 0) & (so_far + F.col("size") / 2 <= F.col("_rest")), 1).otherwise(0))
+    edge = _in_order(joined.filter("_state = 1"))
+    so_far = F.col("_before") + F.col("_within")
+    edge = edge.withColumn("_extra", F.when((F.col("size") > 0) & (so_far + F.col("size") / 2 <= F.col("_rest")), 1).otherwise(0)).drop("_within")
     both = sure.unionByName(edge)
     return both.withColumn("copies", F.col("_epochs") + F.col("_extra")).select(
         "doc_id", "row_key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
@@ -124,8 +143,11 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix: every document as often as it is taken, with the columns of ``docs``.
 
-    Rows that agree in id and text are interchangeable: one of them stands for all their copies.
+    Rows that agree in id, text and source are interchangeable: one of them stands for all their copies.
     """
-    copies = mix(docs, **options).groupBy("row_key").agg(F.sum("copies").alias("_llm_copies")).filter("_llm_copies > 0")
-    keyed = docs.withColumn("_llm_row", row_key()).join(copies.withColumnRenamed("row_key", "_llm_row"), "_llm_row").dropDuplicates(["_llm_row"])
-    return keyed.withColumn("_llm_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_llm_copies"))).select(*docs.columns)
+    key, times, copy = (free_name(docs, n) for n in ("_llm_row", "_llm_copies", "_llm_copy"))
+    copies = mix(docs, **options).groupBy("row_key", "source").agg(F.sum("copies").alias(times)).filter(F.col(times) > 0)
+    copies = copies.withColumnRenamed("row_key", "_k").withColumnRenamed("source", "_s")
+    keyed = docs.withColumn(key, row_key()).alias("d").join(copies.alias("c"), (F.col(f"d.{key}") == F.col("c._k")) & F.col("d.source").eqNullSafe(F.col("c._s")))
+    one = keyed.select("d.*", f"c.{times}").dropDuplicates([key, "source"])
+    return one.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)

@@ -75,9 +75,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of every document; ids with remainder 1 of 3 are held out."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     learnable = quality.labelled(labels, "toxic", quality.remainder(3) != 1, toxicity.LABELLED_ROWS)
-    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    trained = ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(toxicity.TRAINED_ROWS)
-    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, learnable, trained))
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, learnable))
     predicted = (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted")
     return scored.select("doc_id", (quality.remainder(3) == 1).alias("held_out"), "score", predicted)
 

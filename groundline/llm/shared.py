@@ -30,6 +30,13 @@ def prepare_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it while a column is called so."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def row_key() -> Column:
     """One long for a document row; rows that share it have the same id and text (nulls count)."""
     return F.xxhash64(F.col("doc_id"), F.col("text"), F.col("text").isNull())

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from groundline.llm.batches import filled, slices
 from groundline.llm.components import components
-from groundline.llm.shared import cut_lineage, row_key
+from groundline.llm.shared import cut_lineage, free_name, row_key
 
 DISTANCE = 3
 SHINGLE = 3
@@ -340,6 +340,7 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     found = near_duplicates(docs, distance)
     best = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
-    kept = found.groupBy("group_fp").agg(F.min(best)["row_key"].alias("_llm_row"))
-    keyed = docs.withColumn("_llm_row", row_key()).join(kept.select("_llm_row").distinct(), "_llm_row", "left_semi")
-    return keyed.dropDuplicates(["_llm_row"]).select(*docs.columns)
+    key = free_name(docs, "_llm_row")
+    kept = found.groupBy("group_fp").agg(F.min(best)["row_key"].alias(key))
+    keyed = docs.withColumn(key, row_key()).join(kept.select(key).distinct(), key, "left_semi")
+    return keyed.dropDuplicates([key]).select(*docs.columns)

@@ -91,7 +91,7 @@ def test_toxicity_on_awkward_rows(spark):
     rows = awkward_rows() + [(200 + n, prose(n, 30) + (" you stupid idiot" if n % 2 else ""), "en", "s", 0) for n in range(80)]
     docs = documents(spark, rows).withColumn("label", F.lit("clash"))
     learnable = spark.createDataFrame([(200 + n, n % 2) for n in range(60)], "doc_id long, label int")
-    model = toxicity.fit(docs, learnable, docs.select("doc_id").filter("doc_id IS NOT NULL").distinct())
+    model = toxicity.fit(docs, learnable)
     got = toxicity.score_toxicity(docs, model).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     by_id = {r.doc_id: r.score for r in got}
@@ -99,9 +99,17 @@ def test_toxicity_on_awkward_rows(spark):
     assert toxicity.score_toxicity(documents(spark, []), model).count() == 0
 
 
+def test_terms_follow_the_posterior_labels_of_all_documents(spark):
+    rows = [(n, prose(n, 30) + (" you stupid idiot wretchling" if n % 4 == 0 and n >= 100 else " you stupid idiot" if n % 2 else ""), "en", "s", 0) for n in range(400)]
+    docs = documents(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id")).repartition(3)
+    learnable = spark.createDataFrame([(f"d{n}", n % 2) for n in range(100)], "doc_id string, label int")
+    model = toxicity.fit(docs, learnable)
+    assert "wretchling" in model.terms[0]  # in no labelled document
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, label int")
-    model = toxicity.fit(documents(spark, []), none, none)
+    model = toxicity.fit(documents(spark, []), none)
     assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(documents(spark), model).collect())
 
 

@@ -239,3 +239,60 @@ def test_nearest_spreads_a_frequent_id_and_keeps_its_equal_rows(spark):
         own = rows.index((i, q))
         best = sorted((float(np.dot(q, v)) for at, (_, v) in enumerate(rows) if at != own), reverse=True)[:20]
         assert np.allclose([s for _, s in sorted(got[i])], best)
+
+
+def test_vectors_of_other_lengths_do_not_meet(spark):
+    rows = [(0, [1.0, 2.0]), (1, [5.0]), (2, [1.0, 2.0, 3.0]), (3, [2.0, 1.0]), (20, [4.0]), (40, [1.0] * 5)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.vec_id, r.score) for r in rabitq.nearest(table, F.col("vec_id") % 20 == 0).collect())
+    assert got == [(0, 3, 4.0), (20, 1, 20.0)]
+
+
+def test_mix_keeps_each_sources_copies(spark):
+    text = prose(3, 40)
+    docs = documents(spark, [(7, text, "en", "a", 0)] + [(7, text, "en", "b", 0)] * 2).withColumn("_llm_row", F.lit("own"))
+    mixed = mixing.mixed_documents(docs, whole=1.0, weights=(1.0, 2.0))
+    assert mixed.columns == docs.columns
+    got = [(r.source, r["_llm_row"]) for r in mixed.collect()]
+    taken = mixing.mix(docs, whole=1.0, weights=(1.0, 2.0)).groupBy("source").agg(F.sum("copies").alias("n")).collect()
+    assert sorted(got) == sorted((r.source, "own") for r in taken for _ in range(r.n))
+
+
+def test_one_id_with_most_rows_is_split_and_drawn_by_rank(spark):
+    rows = [(9, f"word {n % 50} " * 5, "en", "s", 0) for n in range(3000)] + [(9, "equal words here", "en", "s", 0)] * 1500 + [(5000 + n, prose(n, 20), "en", "t", 0) for n in range(500)]
+    docs = documents(spark, rows).repartition(5)
+    mixes = [mixing.mix(d, weights=(1.0, 3.0), whole=0.7, ranges=r).collect() for d, r in ((docs, None), (docs.repartition(3), 4))]
+    one, two = (sorted(str((r.doc_id, r.size, r.row_key, r.taken)) for r in m) for m in mixes)
+    assert one == two
+    by_source = defaultdict(list)
+    for r in mixes[0]:
+        by_source[r.source].append(r)
+    for own in by_source.values():
+        # brute-force draw: keys from ids and weights, in order, up to the budget beyond whole epochs
+        target, total = own[0].target, own[0].source_size
+        rest = target - total * int(target // total)
+        assert abs(sum(r.taken for r in own) - total * int(target // total) - rest) <= max(r.size for r in own) / 2 + 1e-6
+    part = mixing._in_order(docs.select("source", F.lit(0).alias("_range"), F.lit(1.0).alias("_key"), "doc_id", F.lit(2).cast("long").alias("size"), mixing.row_key().alias("row_key"), F.monotonically_increasing_id().alias("_row")), 100)
+    for source, number in (("s", 4500), ("t", 500)):
+        assert sorted(r._within for r in part.filter(F.col("source") == source).collect()) == list(range(0, 2 * number, 2))
+
+
+def test_the_draw_against_brute_force(spark):
+    import hashlib
+    import math
+
+    rows = [(n, prose(n, 10 + n % 40) + "#" * (n % 30), "en", f"s{n % 2}", 0) for n in range(400)]
+    got = {r.doc_id: r for r in mixing.mix(documents(spark, rows).repartition(4), weights=(1.0, 3.0), whole=0.8, ranges=6).collect()}
+    for source in ("s0", "s1"):
+        own = []
+        for doc_id, text, _, s, _ in rows:
+            if s == source:
+                odd = sum(c not in "abcdefghijklmnopqrstuvwxyz .,\n" for c in text)
+                draw = (int(hashlib.md5(f"mix-1:{doc_id}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                own.append((-math.log(draw) / max(0.1, 1 - odd / len(text)), doc_id))
+        size = {i: got[i].size for _, i in own}
+        total, target = sum(size.values()), got[own[0][1]].target
+        epochs, so_far, rest = int(target // total), 0, target - total * int(target // total)
+        for _, i in sorted(own):
+            assert got[i].copies == epochs + (so_far + size[i] / 2 <= rest)
+            so_far += size[i]

@@ -165,7 +165,7 @@ def test_look_alikes_are_left_alone(field, text):
 
 
 def test_table_of_awkward_rows(spark, field):
-    texts = [*PLAIN, "call (555) 010-2345 " * 400, "4" * 16 + " " + "x" * 200_000 + " anna(at)corp.net", "secret"]
+    texts = [*PLAIN, "call (555) 010-2345 " * 400, "4" * 16 + " " + "x" * 2_000 + " anna(at)corp.net", "secret"]
     rows = awkward_rows() + [(500 + n, t, "en", "s", 1) for n, t in enumerate(texts)]
     docs = documents(spark, rows).withColumn("spans", F.lit("clash")).withColumn("found", F.lit(1)).repartition(4)
     got = pii.find_personal_data(docs, field)

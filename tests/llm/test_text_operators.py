@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from fixtures import awkward_rows, documents
 from pyspark.sql import functions as F
@@ -105,17 +106,43 @@ def dedup_by_hand(rows, least, keep_first=False):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("bits", [None, 1 << 17, line_dedup.CHUNK_BYTES * 8])
-def test_line_dedup_against_brute_force(spark, bits):
+@pytest.mark.parametrize("largest_bits", [line_dedup.LARGEST_FILTER_BITS, 0])
+def test_line_dedup_against_brute_force(spark, largest_bits):
     docs = documents(spark).withColumn("n_lines", F.lit("clash")).withColumn("line", F.lit(1)).repartition(5)
-    got = line_dedup.drop_shared_lines(docs, min_documents=4, bits=bits)
+    got = line_dedup.drop_shared_lines(docs, min_documents=4, largest_bits=largest_bits)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "line", "n_lines", "n_dropped"]
     assert sorted(str(tuple(r)) for r in got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()) == dedup_by_hand(awkward_rows(), 4)
 
 
-def test_line_dedup_with_a_full_filter_is_still_exact(spark):
+@pytest.mark.parametrize("lines", [20, 200])
+def test_few_lines_are_suspected_at_every_size(spark, monkeypatch, lines):
+    monkeypatch.setattr(line_dedup, "LAYER_BITS", 1 << 10)
+    monkeypatch.setattr(line_dedup, "RANGE_BYTES", 4096)
+    rows = [(n, "\n".join([f"line {n} {k}" for k in range(lines)] + [f"twice {n // 2} {k}" for k in range(lines // 10)]), "en", "s", 0) for n in range(100)]
+    for largest in (line_dedup.LARGEST_FILTER_BITS, 0):
+        docs = documents(spark, rows).withColumn("_llm_row", F.monotonically_increasing_id()).repartition(7)
+        found = line_dedup.suspected_lines(docs, 1, "_llm_row", largest)
+        repeated = 100 * (lines // 10)
+        assert repeated <= found.count() <= repeated + 0.01 * 100 * lines
+
+
+def test_filter_grows_and_forgets_nothing():
+    once = line_dedup.Once(bits=1 << 12)
+    hashes = line_dedup._hashes([b"%d" % n for n in range(9000)])
+    parts = np.array_split(hashes, 23)
+    fresh = [once.seen(p) for p in parts]
+    assert np.concatenate(fresh).mean() < 0.1 and all(once.seen(p).all() for p in parts) and len(once.layers) > 20
+
+
+def test_line_dedup_with_own_columns_of_inner_names(spark):
+    docs = documents(spark).withColumn("_llm_row", F.lit("own")).withColumn("_llm_drops", F.lit(1))
+    got = line_dedup.drop_shared_lines(docs, min_documents=4)
+    assert {(r["_llm_row"], r["_llm_drops"]) for r in got.collect()} == {("own", 1)}
+
+
+def test_line_dedup_of_many_lines_is_exact(spark):
     rows = [(n, "\n".join(f"line {n} {k}" for k in range(400)) + ("\ncommon" if n % 3 else ""), "en", "s", 0) for n in range(60)]
-    got = line_dedup.drop_shared_lines(documents(spark, rows), bits=8 * line_dedup.CHUNK_BYTES)
+    got = line_dedup.drop_shared_lines(documents(spark, rows), largest_bits=0)
     assert sorted(str(tuple(r)) for r in got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()) == dedup_by_hand(rows, 10)
 
 
