@@ -102,20 +102,54 @@ def single_blocks(t: Tables) -> DataFrame:
     return layout.single_block_layout(documents).withColumn("content_md5", F.md5("content")).drop("content")
 
 
-@query(r"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'),
+def _listed(names) -> str:
+    return f"[{', '.join(repr(name) for name in sorted(names))}]::VARCHAR[]"
+
+
+def _page_rules() -> str:
+    """What each tag ends, and what shuts that off, as rows."""
+    rows = []
+    for name in sorted(html.KEPT_OPEN | {"hr"}):
+        ends, walls = html.ENDS_LIKE.get(name, (frozenset(), frozenset()))
+        if name in html.ENDS_PARAGRAPH:
+            ends, walls = frozenset({"p"}) | (html.HEADINGS if name in html.HEADINGS else frozenset()), html.SCOPES
+        rows.append(f"('{name}', {_listed(ends)}, {_listed(walls)}, {_listed({name} - {'hr'})})")
+        own = html.HEADINGS if name in html.HEADINGS else {name}
+        rows.append(f"('/{name}', {_listed(own)}, {_listed(html.SCOPES - {name} if name in html.ENDS_IN_SCOPE else ())}, {_listed(())})")
+    return f"rules(tag, ends, walls, opens) AS (VALUES {', '.join(rows)})"
+
+
+def _last(names: str) -> str:
+    """Place of the last open element among some names."""
+    return f"coalesce(list_max(list_filter(range(1, len(open) + 1), lambda i: list_contains({names}, open[i]))), 0)"
+
+
+_SHAPING = "|".join(sorted(html.KEPT_OPEN | {"hr"}, key=lambda name: (-len(name), name)))
+_BLOCKS = _listed(html.BLOCK_ELEMENTS)
+# Every page is followed tag by tag with the list of its open elements.
+PAGE_BLOCKS = rf"""WITH RECURSIVE s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'),
     '(?is)<style\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM @pages),
-m AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)<(title|h1|h2|h3|p|li|div|footer)(\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'),
-    '(?i)</(title|h1|h2|h3|p|li|div|footer)\s*>', chr(1) || '/' || chr(2), 'g') AS h FROM s),
-p AS (SELECT page_id, CAST(unnest(range(len(string_split(h, chr(1))))) AS INT) AS block_ix, unnest(string_split(h, chr(1))) AS part FROM m),
-t AS (SELECT page_id, block_ix, CASE WHEN contains(part, chr(2)) THEN lower(split_part(part, chr(2), 1)) ELSE '' END AS tag,
+m AS (SELECT page_id, string_split(regexp_replace(h, '(?i)<(/?(?:{_SHAPING}))(?:[\s/][^>]*)?>', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM s),
+p AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM m),
+t AS (SELECT page_id, i, CASE WHEN contains(part, chr(2)) THEN lower(split_part(part, chr(2), 1)) ELSE '' END AS tag,
   CASE WHEN contains(part, chr(2)) THEN split_part(part, chr(2), 2) ELSE part END AS body FROM p),
-e AS (SELECT *, sum(CASE tag WHEN '/' THEN -1 WHEN '' THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY block_ix) AS depth FROM t),
-b AS (SELECT page_id, block_ix, body, coalesce(last_value(CASE WHEN tag NOT IN ('', '/') THEN tag END IGNORE NULLS)
-  OVER (PARTITION BY page_id, depth ORDER BY block_ix), 'body') AS element FROM e)
-SELECT doc_id, block_ix, element, md5(content) AS content_md5 FROM (SELECT page_id AS doc_id, block_ix, element,
+{_page_rules()},
+walk AS (SELECT page_id, i, tag, body, []::VARCHAR[] AS open, 0::BIGINT AS place, 'body' AS element, 0::BIGINT AS block_ix FROM t WHERE i = 1
+  UNION ALL
+  SELECT page_id, i, tag, body, open, deep, found, block_ix + CASE WHEN list_contains({_BLOCKS}, ltrim(tag, '/')) OR deep <> place OR found <> element THEN 1 ELSE 0 END
+  FROM (SELECT *, {_last(_BLOCKS)} AS deep, CASE WHEN {_last(_BLOCKS)} = 0 THEN 'body' ELSE open[{_last(_BLOCKS)}] END AS found FROM (
+    SELECT page_id, i, tag, body, place, element, block_ix, list_concat(CASE WHEN last > wall THEN open[1:last - 1] ELSE open END, opens) AS open FROM (
+      SELECT t.page_id, t.i, t.tag, t.body, w.open, w.place, w.element, w.block_ix, r.opens,
+        {_last("r.ends").replace("open", "w.open")} AS last, {_last("r.walls").replace("open", "w.open")} AS wall
+      FROM walk AS w JOIN t ON t.page_id = w.page_id AND t.i = w.i + 1 JOIN rules AS r ON r.tag = t.tag) x) y) z),
+b AS (SELECT page_id, block_ix, any_value(element) AS element, string_agg(body, ' ' ORDER BY i) AS body FROM walk GROUP BY page_id, block_ix)
+SELECT doc_id, CAST(block_ix AS INT) AS block_ix, element, md5(content) AS content_md5 FROM (SELECT page_id AS doc_id, block_ix, element,
   trim(regexp_replace(html_unescaped, '\s+', ' ', 'g')) AS content FROM
   (SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'),
-    '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS html_unescaped FROM b) y) x WHERE content <> ''""")
+    '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS html_unescaped FROM b) y) x WHERE content <> ''"""
+
+
+@query(PAGE_BLOCKS)
 def html_page_blocks(t: Tables) -> DataFrame:
     return html.html_blocks(t.given("pages")).withColumn("content_md5", F.md5("content")).drop("content")
 

@@ -24,6 +24,7 @@ def tune(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.enabled", "true")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     return spark
 
 

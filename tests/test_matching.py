@@ -2,7 +2,12 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from groundline.operators.corpus_search import candidate_pairs, document_forms, ground_in_corpus, token_frequencies, value_forms, value_keys
+from groundline.functions.text import normalize_minimal, normalize_search
+from groundline.operators import evidence
 from groundline.operators.evidence import match_evidence
 from groundline.operators.fixed_matching import FUZZY_THRESHOLD, _window_hit
 from groundline.session import ensure_checkpoint_dir
@@ -88,8 +93,11 @@ def test_evidence_equals_brute_force(spark):
     items = [("identifier", "inv-1001", None, None), ("currency", None, 1200.0, None), ("email", "Desk@north.example.com", None, None),
              ("phone", "555 1234567", None, None), ("date", "2026-07-03", None, None), ("date", "2026-07-19", None, None),
              ("boolean", None, None, True), ("text", "!", None, None), ("text", "e", None, None), ("text", "corp l", None, None),
-             ("text", "12", None, None), ("phone", "123456", None, None), ("date", "not a day", None, None)]
+             ("text", "12", None, None), ("phone", "123456", None, None), ("date", "not a day", None, None),
+             ("email", "n/a", None, None), ("email", "a@b.c", None, None), ("email", "none", None, None), ("email", " ", None, None), ("email", "zz", None, None)]
+    blocks += ["Mail: N / A", "write to a@B.c or none", "n/ab c"]
     want = {(0, 0), (1, 1), (1, 9), (2, 2), (3, 3), (4, 4), (5, 6), (6, 5), (7, 7), (9, 10)}
+    want |= {(13, 11), (13, 13), (14, 12), (15, 12)}
     want |= {(8, i) for i, b in enumerate(blocks) if "e" in b.lower()}
     cands = spark.createDataFrame(
         [(1, i, b, None, None, None) for i, b in enumerate(blocks)],
@@ -99,6 +107,24 @@ def test_evidence_equals_brute_force(spark):
         [(1, "field", "f", i, *item) for i, item in enumerate(items)],
         "doc_id long, owner_kind string, owner_id string, item_ord long, value_type string, v_str string, v_num double, v_bool boolean",
     )
-    got = {(r.item_ord, r.cand_pos) for r in match_evidence(rows, cands).collect()}
+    pairs = [(r.item_ord, r.cand_pos) for r in match_evidence(rows, cands).collect()]
+    got = set(pairs)
+    assert len(pairs) == len(got)
     want |= {(10, i) for i, b in enumerate(blocks) if "12" in b}
     assert got == want
+
+
+@pytest.mark.parametrize(("chunk", "bundle"), [(4096, 256), (3, 2)])
+def test_evidence_in_parts_equals_substring_search(spark, monkeypatch, chunk, bundle):
+    monkeypatch.setattr(evidence, "CHUNK_ITEMS", chunk)
+    monkeypatch.setattr(evidence, "BUNDLE_BLOCKS", bundle)
+    rng = random.Random(chunk)
+    blocks = [(d, p, " ".join(rng.choices(["ab", "abc", "bc", "a", "cab", "é", "12", "x\0y"], k=rng.randint(0, 6)))) for d in range(3) for p in range(25)]
+    items = [(d, "field", f"f{n}", n, "text", "".join(rng.choices("abc é12", k=rng.randint(1, 4)))) for d in range(3) for n in range(20)]
+    cands = spark.createDataFrame([(*b, None, None, None) for b in blocks], "doc_id long, cand_pos long, content string, confidence double, page_number int, polygon string")
+    rows = spark.createDataFrame([(*i, None, None) for i in items], "doc_id long, owner_kind string, owner_id string, item_ord long, value_type string, v_str string, v_num double, v_bool boolean")
+    got = sorted((r.doc_id, r.item_ord, r.cand_pos) for r in match_evidence(rows, cands).collect())
+    forms = lambda s: (normalize_minimal(F.col(s)).alias("m"), normalize_search(F.col(s)).alias("s"))
+    needles = [tuple(r) for r in rows.select("doc_id", "item_ord", *forms("v_str")).collect()]
+    texts = [tuple(r) for r in cands.select("doc_id", "cand_pos", *forms("content")).collect()]
+    assert got == sorted((d, n, p) for d, n, m, s in needles for e, p, bm, bs in texts if d == e and m and (m in bm or (s and s in bs)))

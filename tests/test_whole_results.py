@@ -97,6 +97,40 @@ def test_text_behind_closing_tags_and_outside_blocks_stays(spark):
     ]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div><p>a<p>b</div>tail", [("p", "a"), ("p", "b"), ("body", "tail")]),
+        ("<ul><li>one<li>two<ul><li>in</ul>more</ul>after", [("li", "one"), ("li", "two"), ("li", "in"), ("li", "more"), ("body", "after")]),
+        ("<p>a<table><tr><td><p>in<td>next</table>out", [("p", "a"), ("p", "in"), ("body", "next out")]),
+        ("<div>a<br>b<img src='x'>c</p>d</div>e", [("div", "a b c"), ("div", "d"), ("body", "e")]),
+        ("<h1>a<h2>b</h1>c", [("h1", "a"), ("h2", "b"), ("body", "c")]),
+        ("<div><h4>a<p>b</div></div>c</p>d", [("div", "a"), ("p", "b"), ("body", "c"), ("body", "d")]),
+        ("<p>a<div>b</p>c</div>d", [("p", "a"), ("div", "b"), ("div", "c"), ("body", "d")]),
+        ("1 < 2 <p>x<!-- <p>no --> y<script>if (a<b) '<p>'</script>z<P CLASS=q>w", [("body", "1 < 2"), ("p", "x y z"), ("p", "w")]),
+        ("a<p>b<!-- open <p>c", [("body", "a"), ("p", "b")]),
+        ("a<p>b<script>open <p>c", [("body", "a"), ("p", "b")]),
+        ("<!doctype html><html><head><title>T</title></head><body>b<footer>f</footer></body></html>", [("title", "T"), ("body", "b"), ("footer", "f")]),
+        ("<div>a<section>b<p>c</section>d</div>", [("div", "a b"), ("p", "c"), ("div", "d")]),
+        (None, []), ("", []), ("<<<<<", [("body", "<<<<<")]),
+    ],
+)
+def test_pages_as_trees(spark, page, want):
+    got = html.html_blocks(spark.createDataFrame([(1, page)], "page_id long, html string")).orderBy("block_ix").collect()
+    assert [(r.element, r.content) for r in got] == want
+
+
+def test_deep_and_broken_pages_end(spark):
+    pages = ["<div>" * 20_000 + "x" + "</div>" * 20_000, "<a " * 100_000, "<!--" * 50_000, "<" * 200_000, "<p>" * 50_000 + "x", "<script" * 30_000]
+    rows = html.html_blocks(spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")).collect()
+    assert {(r.doc_id, r.element) for r in rows} == {(0, "div"), (3, "body"), (4, "p")}
+
+
+def test_blocks_of_pages_are_not_shuffled(spark):
+    plan = html.html_blocks(spark.createDataFrame([(1, "x")], "page_id long, html string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_reviews_evaluate_evidence_once(spark):
     from __spark_entry__ import queries
 
@@ -105,7 +139,7 @@ def test_reviews_evaluate_evidence_once(spark):
 
     def evaluations(name):
         plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-        return plan.count("array_intersect")
+        return plan.count("MapInArrow")
 
     once = evaluations("evidence_matches")
     assert once >= 1
