@@ -121,16 +121,27 @@ SELECT doc_id, 'plain' AS template_id, ordinal, 'form.' || field_key AS pdf_fiel
     ELSE CASE WHEN length(coalesce(text, '')) > 70 THEN 8 WHEN length(coalesce(text, '')) > 50 THEN 9 ELSE 10 END END::DOUBLE AS font_size,
   CASE m WHEN 0 THEN true WHEN 1 THEN false ELSE true END AS flattened FROM w""")
 def fill_plan(t: Tables) -> DataFrame:
+    documents, templates = _filled_documents(t)
+    fields = t.order_schema.withColumn("pdf_field", F.concat(F.lit("form."), "field_key"))
+    return rv.fill_plan(documents, fields, t.order_options, templates, t.order_values).drop("file_name")
+
+
+def _filled_documents(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Documents with the template they ask for, which not every schema has, and the templates."""
     k = F.col("doc_id")
     documents = t.order_docs.select(
         "doc_id", "schema_id", F.when(k % 5 == 4, "gone").otherwise("plain").alias("template_id"),
         F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("flatten"),
     )
-    fields = t.order_schema.withColumn("pdf_field", F.concat(F.lit("form."), "field_key"))
     templates = t.order_schema.select("schema_id").distinct().select(
         "schema_id", F.lit("plain").alias("template_id"), F.lit(True).alias("flatten_by_default")
     )
-    return rv.fill_plan(documents, fields, t.order_options, templates, t.order_values).drop("file_name")
+    return documents, templates
+
+
+@query("SELECT doc_id, 'gone' AS template_id, 'unknown_template' AS rule FROM order_docs WHERE doc_id % 5 = 4")
+def unknown_template_documents(t: Tables) -> DataFrame:
+    return rv.unknown_templates(*_filled_documents(t))
 
 
 _SCALAR = """CASE WHEN v_num IS NOT NULL THEN CASE WHEN v_num = floor(v_num) THEN CAST(CAST(v_num AS BIGINT) AS VARCHAR)

@@ -254,6 +254,16 @@ def analysis_layouts(t: Tables) -> DataFrame:
     return parts.join(layouts.select("doc_id", "content_unit", "content_unit_count"), "doc_id")
 
 
+@query("""SELECT page_id AS doc_id, CASE WHEN page_id % 9 = 3 THEN 'unreadable' WHEN page_id % 9 = 1 THEN 'blank_content'
+  ELSE 'content_too_long' END AS reason FROM @pages
+  WHERE page_id % 9 IN (1, 3) OR length(html) * CASE WHEN page_id % 9 = 2 THEN 40 ELSE 1 END > 100000""")
+def rejected_layouts(t: Tables) -> DataFrame:
+    k, content = F.col("page_id"), F.col("html")
+    content = F.when(k % 9 == 1, " ").when(k % 9 == 2, F.repeat(content, F.lit(40))).otherwise(content)
+    body = F.when(k % 9 == 3, "{").otherwise(F.to_json(F.struct(content.alias("content"))))
+    return layout.rejected_analysis(t.given("pages").select(k.alias("doc_id"), F.lit("pdf").alias("source_format"), body.alias("body")))
+
+
 def _request_docs(t: Tables) -> DataFrame:
     return t.given("documents").select("doc_id", F.lit("pdf").alias("source_format"), F.lit(1).alias("schema_id"), F.col("text").alias("content"))
 
