@@ -23,8 +23,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that ten or more of them share; ``n_chars`` follows the text."""
-    kept = line_dedup.drop_shared_lines(docs).select(*docs.columns)
+    """Documents without lines that ten or more of them share, but for each line's first place.
+
+    The first place is in the document with the smallest id, so of many exact copies one keeps its
+    text. ``n_chars`` follows the text.
+    """
+    kept = line_dedup.drop_shared_lines(docs, keep_first=True).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 

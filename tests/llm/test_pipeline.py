@@ -48,10 +48,17 @@ def test_lines_are_dropped_as_by_hand(chain):
     import hashlib
 
     digests = {r[0]: hashlib.sha256(r[1].encode()).hexdigest() for r in after}
-    assert {d.split("'")[1] for d in dedup_by_hand(before, 10)} == set(digests.values())
+    assert {d.split("'")[1] for d in dedup_by_hand(before, 10, True)} == set(digests.values())
     assert all(r[4] == len(r[1]) for r in after) and len(after) == len(before)
 
 
+def test_many_exact_copies_leave_one_document(spark):
+    rows = [(n, "A line of its own\nand another one, both in many copies\n" + "word " * 20, "en", "s", 0) for n in range(12)]
+    rows += [(50 + n, f"own {n} " * 12, "en", "s", 0) for n in range(5)]
+    left = corpus_pipeline.duplicate_stage(spark, corpus_pipeline.line_stage(spark, documents(spark, rows), DATA), DATA).collect()
+    assert [r.text for r in left if r.text == rows[0][1]] == [rows[0][1]]
+
+
 def test_one_document_of_each_group_stays(chain):
     before, after = rows_of(chain[2]), rows_of(chain[3])
     groups = groups_by_hand([fingerprint_by_hand(r[1]) for r in before])
