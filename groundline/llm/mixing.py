@@ -147,7 +147,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     key, times, copy = (free_name(docs, n) for n in ("_llm_row", "_llm_copies", "_llm_copy"))
     copies = mix(docs, **options).groupBy("row_key", "source").agg(F.sum("copies").alias(times)).filter(F.col(times) > 0)
-    copies = copies.withColumnRenamed("row_key", "_k").withColumnRenamed("source", "_s")
-    keyed = docs.withColumn(key, row_key()).alias("d").join(copies.alias("c"), (F.col(f"d.{key}") == F.col("c._k")) & F.col("d.source").eqNullSafe(F.col("c._s")))
-    one = keyed.select("d.*", f"c.{times}").dropDuplicates([key, "source"])
+    own = lambda row: F.xxhash64(row, F.col("source"), F.col("source").isNull())
+    # one key for the join and for the copies, so that texts are dealt once
+    copies = copies.select(own(F.col("row_key")).alias(key), times)
+    one = docs.withColumn(key, own(row_key())).join(copies, key).dropDuplicates([key])
     return one.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
