@@ -1,4 +1,8 @@
-"""Audits of stored review results: each rule yields one row per violation."""
+"""Audits of stored review results: each rule yields one row per violation.
+
+Rules that need several tables are told apart by a role that takes part in the join keys, so that
+each table is read once and rows of other roles pass the joins as they are.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundline.functions.numbers import round_two
-from groundline.operators.ground_fixed import REVIEW_THRESHOLD, expected_values
+from groundline.operators.ground_fixed import REVIEW_THRESHOLD
+from groundline.operators.rules import repeat_rows
 
 # The legal combinations of status, match type and confidence.
 LEGAL_REVIEWS = (
@@ -19,9 +24,47 @@ LEGAL_REVIEWS = (
 COUNTS = ("verified_fields", "needs_review_fields", "missing_fields", "required_missing_fields")
 
 
-def _rule(df: DataFrame, condition: Column, rule: str, path: Column | str) -> DataFrame:
-    target = F.col(path) if isinstance(path, str) else path
-    return df.filter(condition).select("doc_id", F.lit(rule).alias("rule"), target.alias("path"))
+FLAGS = (*COUNTS, "confidence", "review_required")
+
+
+def _roles(*names: str) -> Column:
+    return F.explode(F.array(*[F.lit(name) for name in names])).alias("role")
+
+
+def _asked_and_stray(documents: DataFrame, marks: DataFrame, items: DataFrame) -> DataFrame:
+    """Items of each document's schema (role ``item``) and marks its schema does not know (``stray``).
+
+    ``marks`` has ``doc_id, role, mark``: those of role ``stray`` are looked up in the schema, those of
+    other roles only meet the documents (``met``) or, without one, are passed on. ``items`` has
+    ``schema_id, id, listed, required``: all are known, the listed ones are asked for. A document is
+    read once, as one row for its items and one for each role of marks.
+    """
+    roles = documents.select("doc_id", "schema_id", "document_type", _roles("item", "stray", "met"))
+    rows = roles.withColumn("known_doc", F.lit(True)).join(
+        marks.withColumn("marked", F.lit(True)), ["doc_id", "role"], "full"
+    )
+    is_item = F.col("role") == "item"
+    rows = rows.filter(is_item | F.col("marked"))
+    probe = F.when(is_item, F.lit("")).when(F.col("role") == "stray", F.concat(F.lit("="), "mark"))
+    known = items.select(
+        "schema_id",
+        F.explode(F.array_compact(F.array(
+            F.struct(F.lit("stray").alias("role"), F.concat(F.lit("="), "id").alias("probe")),
+            F.when(F.col("listed"), F.struct(F.lit("item").alias("role"), F.lit("").alias("probe"))),
+        ))).alias("at"),
+        "id", "required",
+    ).select("schema_id", "at.role", "at.probe", "id", "required", F.lit(True).alias("known"))
+    rows = rows.withColumn("probe", probe).join(known, ["schema_id", "role", "probe"], "left")
+    kept = (
+        F.when(is_item, F.col("known"))
+        .when(F.col("role") == "stray", F.col("known_doc") & F.col("known").isNull())
+        .otherwise(True)
+    )
+    return rows.filter(kept).drop("probe", "known", "marked")
+
+
+def _finding(condition: Column, rule: str, path: Column) -> Column:
+    return F.when(condition, F.struct(F.lit(rule).alias("rule"), path.cast("string").alias("path")))
 
 
 def audit_extraction_result(
@@ -32,55 +75,75 @@ def audit_extraction_result(
     meta: DataFrame,
     warning_keys: DataFrame,
 ) -> DataFrame:
-    """Stored results of registered schemas against what their own rows imply."""
-    status, match = F.col("status"), F.col("match_type")
+    """Stored results of registered schemas against what their own rows imply.
+
+    Returns ``doc_id, rule, path``, one row per violation; every input is read once. Repeated values or
+    reviews count as often as they meet. A document without stored meta or fields has no ``meta_mismatch``.
+    """
+    status, match, role = F.col("status"), F.col("match_type"), F.col("role")
+    key = ["doc_id", "schema_id", "field_key", "role"]
+    rows = _asked_and_stray(
+        documents.select("doc_id", "schema_id", F.lit(None).cast("string").alias("document_type")),
+        warning_keys.select("doc_id", F.lit("stray").alias("role"), F.col("field_key").alias("mark")),
+        fields.select("schema_id", F.col("field_key").alias("id"), F.lit(True).alias("listed"), "required"),
+    ).select(
+        "doc_id", "schema_id", "role", "required", F.lit(True).alias("asked"),
+        F.when(role == "item", F.col("id")).otherwise(F.col("mark")).alias("field_key"),
+    )
+    found = values.select(
+        *key[:3], F.lit("item").alias("role"), (F.col("v_str").isNotNull() | F.col("v_num").isNotNull()).alias("filled")
+    )
     legal = F.lit(False)
     for s, m, c in LEGAL_REVIEWS:
         legal = legal | ((status == s) & (match == m) & (F.col("confidence") == c))
-    illegal = _rule(reviews, ~F.coalesce(legal, F.lit(False)), "review_state", "field_key")
-
-    stored = reviews.select("doc_id", "schema_id", "field_key", "status", "confidence")
-    rows = expected_values(documents, fields, values).join(
-        stored, ["doc_id", "schema_id", "field_key"], "left"
+    wrong = F.when(~F.coalesce(legal, F.lit(False)), F.lit("illegal"))
+    stored = reviews.select(
+        *key[:3], "status", "confidence", F.explode(F.array_compact(F.array(F.lit("item"), wrong))).alias("role")
     )
-    present = F.col("v_str").isNotNull() | F.col("v_num").isNotNull()
-    absent = _rule(rows, status.isNull(), "review_absent", "field_key")
-    not_missing = _rule(rows, ~present & (status != "missing"), "null_not_missing", "field_key")
-    not_present = _rule(rows, present & (status == "missing"), "present_but_missing", "field_key")
-
-    included = F.count_if(status.isNotNull() & (present | F.col("required")))
+    rows = rows.join(found, key, "left").join(stored, key, "full")
+    present, path = F.coalesce("filled", F.lit(False)), F.col("field_key")
+    item = (role == "item") & F.col("asked")
+    findings = F.array_compact(F.array(
+        _finding(role == "illegal", "review_state", path),
+        _finding(role == "stray", "warning_key", path),
+        _finding(item & status.isNull(), "review_absent", path),
+        _finding(item & ~present & (status != "missing"), "null_not_missing", path),
+        _finding(item & present & (status == "missing"), "present_but_missing", path),
+        _finding(item, "meta_mismatch", F.lit(None)),
+    ))
     score = F.sum(F.when(present, F.round(F.col("confidence") * 100).cast("bigint")))
-    score = F.coalesce(score, F.lit(0))
-    implied = rows.groupBy("doc_id").agg(
-        F.count_if(status == "verified").alias("verified_fields"),
-        F.count_if(status == "needs_review").alias("needs_review_fields"),
-        F.count_if(status == "missing").alias("missing_fields"),
-        F.count_if((status == "missing") & F.col("required")).alias("required_missing_fields"),
-        F.when(included == 0, 0.0).otherwise(round_two(score / 100 / included)).alias("confidence"),
+    included = F.count_if(status.isNotNull() & (present | F.col("required")))
+    told = (
+        rows.select(
+            "doc_id", "status", "confidence", "required", present.alias("filled"), F.inline(findings)
+        )
+        .withColumn("required", F.coalesce("required", F.lit(False)))
+        .groupBy("doc_id", "rule", "path")
+        .agg(
+            F.count("*").alias("n"),
+            F.count_if(status == "verified").alias("verified_fields"),
+            F.count_if(status == "needs_review").alias("needs_review_fields"),
+            F.count_if(status == "missing").alias("missing_fields"),
+            F.count_if((status == "missing") & F.col("required")).alias("required_missing_fields"),
+            included.alias("included"),
+            F.coalesce(score, F.lit(0)).alias("score"),
+        )
     )
-    implied = implied.withColumn(
+    average = round_two(F.col("score") / 100 / F.nullif(F.col("included"), F.lit(0)))
+    told = told.withColumn("confidence", F.when(F.col("included") == 0, 0.0).otherwise(average))
+    told = told.withColumn(
         "review_required",
         (F.col("needs_review_fields") > 0)
         | (F.col("required_missing_fields") > 0)
         | (F.col("confidence") < REVIEW_THRESHOLD),
     )
-    both = meta.alias("m").join(implied.alias("i"), "doc_id")
-    wrong = [
-        F.when(F.col(f"m.{name}") != F.col(f"i.{name}"), F.lit(name))
-        for name in (*COUNTS, "confidence", "review_required")
-    ]
-    mismatched = both.select("doc_id", F.explode(F.array_compact(F.array(*wrong))).alias("path"))
-    mismatched = mismatched.select("doc_id", F.lit("meta_mismatch").alias("rule"), "path")
-
-    known = fields.select("schema_id", "field_key")
-    stray = warning_keys.join(documents.select("doc_id", "schema_id"), "doc_id").join(
-        known, ["schema_id", "field_key"], "left_anti"
-    )
-    stray = stray.select("doc_id", F.lit("warning_key").alias("rule"), F.col("field_key").alias("path"))
-    found = illegal
-    for part in (absent, not_missing, not_present, mismatched, stray):
-        found = found.unionByName(part)
-    return found
+    claimed = meta.select("doc_id", F.lit("meta_mismatch").alias("rule"), F.struct(*FLAGS).alias("claimed"))
+    differs = [F.when(F.col("claimed")[name] != F.col(name), F.lit(name)) for name in FLAGS]
+    is_meta = F.col("rule") == "meta_mismatch"
+    paths = F.when(is_meta, F.array_compact(F.array(*differs))).otherwise(F.array("path"))
+    reported = told.join(claimed, ["doc_id", "rule"], "left").select("doc_id", "rule", "n", F.explode(paths).alias("path"))
+    times = F.when(is_meta, F.lit(1)).otherwise(F.col("n"))
+    return repeat_rows(reported, times).select("doc_id", "rule", "path")
 
 
 def audit_discovered_result(
@@ -97,52 +160,83 @@ def audit_discovered_result(
     """Stored results of discovered schemas against what their own rows imply.
 
     Reviews carry ``status, confidence, evidence_count`` (tables also ``row_count``),
-    results carry ``detected_type, confidence, review_required``.
+    results carry ``detected_type, confidence, review_required``. Returns ``doc_id, rule, path``, one row
+    per violation; every input is read once, and rows are counted per document and item before they are
+    shuffled.
     """
-    status = F.col("status")
-    typed = results.join(documents.select("doc_id", "document_type"), "doc_id")
-    type_differs = _rule(
-        typed, F.col("detected_type") != F.col("document_type"), "detected_type", "detected_type"
+    status, role, path = F.col("status"), F.col("role"), F.col("path")
+    low = F.coalesce(F.col("confidence") < REVIEW_THRESHOLD, F.lit(False))
+    unflagged = F.when(~F.col("review_required"), F.when(low, F.lit("low")).otherwise(F.lit("settled")))
+    marks = results.select(
+        "doc_id", F.col("detected_type").alias("mark"),
+        F.explode(F.array_compact(F.array(F.lit("met"), unflagged))).alias("role"),
+    ).unionByName(warning_ids.select("doc_id", F.col("id").alias("mark"), F.lit("stray").alias("role")))
+    nothing = F.lit(None).cast("boolean").alias("required")
+    items = fields.select("schema_id", F.col("field_id").alias("id"), F.lit(True).alias("listed"), nothing).unionByName(
+        columns.select("schema_id", F.col("table_id").alias("id"), F.lit(False).alias("listed"), nothing)
     )
-    state = value_reviews.select(
-        "doc_id", F.col("field_id").alias("path"), "status", "confidence", "evidence_count"
-    ).unionByName(
-        table_reviews.select(
-            "doc_id", F.col("table_id").alias("path"), "status", "confidence", "evidence_count"
+    rows = _asked_and_stray(documents.select("doc_id", "schema_id", "document_type"), marks, items)
+    differs = (role != "met") | (F.col("known_doc") & (F.col("mark") != F.col("document_type")))
+    no_row = F.lit(None).cast("bigint").alias("row_ix")
+    facts = (
+        rows.filter(differs)
+        .select(
+            "doc_id", "role", no_row, F.lit("asked").alias("kind"),
+            F.when(role == "item", F.col("id")).when(~role.isin("low", "settled"), F.col("mark")).alias("path"),
+        )
+        .unionByName(field_values.select(
+            "doc_id", F.lit("item").alias("role"), no_row, F.lit("value").alias("kind"), F.col("field_id").alias("path")
+        ))
+        .unionByName(cell_values.select(
+            "doc_id", F.lit("table").alias("role"), F.col("row_ix").cast("bigint").alias("row_ix"),
+            F.lit("value").alias("kind"), F.col("table_id").alias("path"),
+        ))
+        .groupBy("doc_id", "role", "path")
+        .agg(
+            F.count_if(F.col("kind") == "asked").alias("asked"),
+            F.count_if(F.col("kind") == "value").alias("given"),
+            F.count_distinct("row_ix").alias("rows"),
         )
     )
-    scored = _rule(state, (status == "missing") & (F.col("confidence") != 0), "missing_scored", "path")
-    bare = _rule(state, (status == "verified") & (F.col("evidence_count") == 0), "no_evidence", "path")
-
-    found_values = field_values.select("doc_id", "field_id").distinct().withColumn("present", F.lit(True))
-    catalog = documents.select("doc_id", "schema_id").join(
-        fields.select("schema_id", "field_id"), "schema_id"
-    )
-    rows = (
-        catalog.join(value_reviews.select("doc_id", "field_id", "status"), ["doc_id", "field_id"])
-        .join(found_values, ["doc_id", "field_id"], "left")
-        .na.fill(False, ["present"])
-    )
-    not_missing = _rule(rows, ~F.col("present") & (status != "missing"), "null_not_missing", "field_id")
-    not_present = _rule(rows, F.col("present") & (status == "missing"), "present_but_missing", "field_id")
-
-    counted = cell_values.groupBy("doc_id", "table_id").agg(F.countDistinct("row_ix").alias("rows"))
-    tables = table_reviews.join(counted, ["doc_id", "table_id"], "left").na.fill(0, ["rows"])
-    row_count = _rule(tables, F.col("rows") != F.col("row_count"), "row_count", "table_id")
-
-    known = fields.select("schema_id", F.col("field_id").alias("id")).unionByName(
-        columns.select("schema_id", F.col("table_id").alias("id"))
-    ).distinct()
-    stray = warning_ids.join(documents.select("doc_id", "schema_id"), "doc_id").join(
-        known, ["schema_id", "id"], "left_anti"
+    state = ("status", "confidence", "evidence_count")
+    reviews = value_reviews.select(
+        "doc_id", F.lit("item").alias("role"), F.col("field_id").alias("path"), *state,
+        F.lit(None).cast("bigint").alias("row_count"), F.lit(True).alias("reviewed"),
+    ).unionByName(table_reviews.select(
+        "doc_id", F.lit("table").alias("role"), F.col("table_id").alias("path"), *state,
+        F.col("row_count").cast("bigint").alias("row_count"), F.lit(True).alias("reviewed"),
+    ))
+    met = facts.join(reviews, ["doc_id", "role", "path"], "full")
+    asked, present = F.coalesce("asked", F.lit(0)), F.coalesce("given", F.lit(0)) > 0
+    reviewed, item, table = F.col("reviewed"), F.col("role") == "item", F.col("role") == "table"
+    flag = F.lit("review_required")
+
+    def told(condition: Column, rule: str, target: Column, times: Column | int, kind: str = "") -> Column:
+        number = F.lit(times) if isinstance(times, int) else times
+        return F.when(condition, F.struct(
+            F.lit(rule).alias("rule"), target.cast("string").alias("path"),
+            number.cast("bigint").alias("times"), F.lit(kind).alias("kind"),
+        ))
+
+    findings = F.array_compact(F.array(
+        told(role == "met", "detected_type", path, asked),
+        told(role == "stray", "warning_id", path, asked),
+        told(role == "low", "review_flag", flag, asked, "low"),
+        told(role == "settled", "review_flag", flag, asked, "settled"),
+        told(F.col("doc_id").isNotNull() & reviewed & (status != "verified"), "review_flag", flag, 1, "open"),
+        told(reviewed & (status == "missing") & (F.col("confidence") != 0), "missing_scored", path, 1),
+        told(reviewed & (status == "verified") & (F.col("evidence_count") == 0), "no_evidence", path, 1),
+        told(reviewed & item & ~present & (status != "missing"), "null_not_missing", path, asked),
+        told(reviewed & item & present & (status == "missing"), "present_but_missing", path, asked),
+        told(reviewed & table & (F.coalesce("rows", F.lit(0)) != F.col("row_count")), "row_count", path, 1),
+    ))
+    kind, times = F.col("kind"), F.col("times")
+    counted = met.select("doc_id", F.inline(findings)).groupBy("doc_id", "rule", "path").agg(
+        F.sum(F.when(kind == "", times)).alias("plain"),
+        F.coalesce(F.sum(F.when(kind == "low", times)), F.lit(0)).alias("low"),
+        F.sum(F.when(kind == "settled", times)).alias("settled"),
+        F.count_if(kind == "open").alias("open"),
     )
-    stray = stray.select("doc_id", F.lit("warning_id").alias("rule"), F.col("id").alias("path"))
-
-    open_items = state.groupBy("doc_id").agg(F.count_if(status != "verified").alias("open_items"))
-    flagged = results.join(open_items, "doc_id", "left").na.fill(0, ["open_items"])
-    needs = (F.col("confidence") < REVIEW_THRESHOLD) | (F.col("open_items") > 0)
-    unflagged = _rule(flagged, needs & ~F.col("review_required"), "review_flag", F.lit("review_required"))
-    found = type_differs
-    for part in (scored, bare, not_missing, not_present, row_count, stray, unflagged):
-        found = found.unionByName(part)
-    return found
+    waiting = F.when(F.col("open") > 0, F.coalesce("settled", F.lit(0))).otherwise(0)
+    repeats = F.when(F.col("rule") == "review_flag", F.col("low") + waiting).otherwise(F.col("plain"))
+    return repeat_rows(counted, repeats).select("doc_id", "rule", "path")

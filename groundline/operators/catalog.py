@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundline.functions.text import is_blank, trim_all
+from groundline.operators.rules import at_most, bars, bounded, breach, child, claims, needs, parent, settle, unique
 
 # Identifier shapes and bounds.
 REGISTERED_ID = r"^[A-Za-z][A-Za-z0-9-]*\z"
@@ -34,66 +35,48 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _rules(df: DataFrame, path: Column, rules: list[tuple[str, Column]]) -> DataFrame:
-    """Several row rules in one pass over a table: one row per rule a row breaks."""
-    broken = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in rules]))
-    return df.select("schema_id", path.alias("path"), F.explode(broken).alias("rule"))
-
-
-def _repeated(df: DataFrame, keys: list[str], path: Column, rule: str) -> DataFrame:
-    """Keys that occur more than once within their scope."""
-    counted = df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    return counted.select("schema_id", path.alias("path"), F.lit(rule).alias("rule"))
-
-
-def _without(parents: DataFrame, children: DataFrame, rule: str) -> DataFrame:
-    missing = parents.select("schema_id").join(children.select("schema_id"), "schema_id", "left_anti")
-    return missing.select("schema_id", F.lit("").alias("path"), F.lit(rule).alias("rule"))
-
-
-def _over(df: DataFrame, keys: list[str], path: Column, limit: int, rule: str) -> DataFrame:
-    counted = df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
-    return counted.select("schema_id", path.alias("path"), F.lit(rule).alias("rule"))
-
-
 def audit_registered(
     definitions: DataFrame, fields: DataFrame, options: DataFrame, templates: DataFrame
 ) -> DataFrame:
-    """Definitions that break a registration rule (``schema_id, path, rule``)."""
-    whole = F.lit("")
-    field, template = F.col("field_key"), F.col("template_id")
-    option_path = F.concat_ws(".", field, F.col("value"))
-    chosen = fields.filter(F.col("kind") == "select").select("schema_id", "field_key")
-    unchosen = chosen.join(options, ["schema_id", "field_key"], "left_anti")
-    return _union([
-        _rules(definitions, whole, [
-            ("id_pattern", ~F.col("schema_id").rlike(REGISTERED_ID)),
-            ("version", F.col("version") < 1),
-            ("label_blank", is_blank(F.col("label"))),
-            ("description_blank", is_blank(F.col("description"))),
-        ]),
-        _without(definitions, fields, "no_fields"),
-        _without(definitions, templates, "no_templates"),
-        _rules(fields, field, [
-            ("key_pattern", ~field.rlike(REGISTERED_ID)),
-            ("label_blank", is_blank(F.col("label"))),
-            ("description_blank", is_blank(F.col("description"))),
-            ("pdf_field_blank", is_blank(F.col("pdf_field"))),
-        ]),
-        unchosen.select("schema_id", field.alias("path"), F.lit("no_options").alias("rule")),
-        _rules(options, option_path, [
-            ("option_blank", is_blank(F.col("label")) | is_blank(F.col("value"))),
-        ]),
-        _rules(templates, template, [
-            ("template_pattern", ~template.rlike(REGISTERED_ID)),
-            ("label_blank", is_blank(F.col("label"))),
-            ("asset_blank", is_blank(F.col("asset_path"))),
-        ]),
-        _repeated(options, ["schema_id", "field_key", "value"], option_path, "duplicate_option"),
-        _repeated(fields, ["schema_id", "field_key"], field, "duplicate_key"),
-        _repeated(fields, ["schema_id", "pdf_field"], F.col("pdf_field"), "duplicate_pdf_field"),
-        _repeated(templates, ["schema_id", "template_id"], template, "duplicate_template"),
-        _repeated(definitions, ["schema_id"], whole, "duplicate_definition"),
+    """Definitions that break a registration rule (``schema_id, path, rule``); every table is read once."""
+    whole, field, value, template = F.lit(""), F.col("field_key"), F.col("value"), F.col("template_id")
+    option_path = F.concat_ws(".", field, value)
+    return settle([
+        claims(
+            definitions,
+            breach("id_pattern", whole, ~F.col("schema_id").rlike(REGISTERED_ID)),
+            breach("version", whole, F.col("version") < 1),
+            breach("label_blank", whole, is_blank(F.col("label"))),
+            breach("description_blank", whole, is_blank(F.col("description"))),
+            unique("duplicate_definition", whole),
+            parent("no_fields", whole),
+            parent("no_templates", whole),
+        ),
+        claims(
+            fields,
+            breach("key_pattern", field, ~field.rlike(REGISTERED_ID)),
+            breach("label_blank", field, is_blank(F.col("label"))),
+            breach("description_blank", field, is_blank(F.col("description"))),
+            breach("pdf_field_blank", field, is_blank(F.col("pdf_field"))),
+            unique("duplicate_key", field, field),
+            unique("duplicate_pdf_field", F.col("pdf_field"), F.col("pdf_field")),
+            parent("no_options", field, field, condition=F.col("kind") == "select"),
+            child("no_fields", whole),
+        ),
+        claims(
+            options,
+            breach("option_blank", option_path, is_blank(F.col("label")) | is_blank(value)),
+            unique("duplicate_option", option_path, field, value),
+            child("no_options", field, field),
+        ),
+        claims(
+            templates,
+            breach("template_pattern", template, ~template.rlike(REGISTERED_ID)),
+            breach("label_blank", template, is_blank(F.col("label"))),
+            breach("asset_blank", template, is_blank(F.col("asset_path"))),
+            unique("duplicate_template", template, template),
+            child("no_templates", whole),
+        ),
     ])
 
 
@@ -120,63 +103,77 @@ def audit_discovered(
     tables: DataFrame,
     columns: DataFrame,
 ) -> DataFrame:
-    """Discovered schemas that break a rule (``schema_id, path, rule``)."""
-    section, field, table = F.col("section_id"), F.col("field_id"), F.col("table_id")
-    column_path = F.concat_ws(".", table, F.col("column_id"))
+    """Discovered schemas that break a rule (``schema_id, path, rule``); every table is read once."""
+    whole, section, field, table = F.lit(""), F.col("section_id"), F.col("field_id"), F.col("table_id")
+    column, kind, value = F.col("column_id"), F.col("value_type"), F.col("value")
+    column_path = F.concat_ws(".", table, column)
+    option_path = F.concat_ws(".", field, F.col("option_ix").cast("string"))
     long_text = F.length(trim_all(F.col("description"))) > MAX_DESCRIPTION
     label = _labelled(F.col("label"), MAX_LABEL)
-    kinds = fields.select("schema_id", "field_id", "value_type").distinct()
-    counted = options.groupBy("schema_id", "field_id").agg(F.count("*").alias("n"))
-    choices = kinds.join(counted, ["schema_id", "field_id"], "left").na.fill(0, ["n"])
-    is_choice = F.col("value_type") == "select"
-    bare = sections.join(fields, ["schema_id", "section_id"], "left_anti")
-    empty_tables = tables.join(columns, ["schema_id", "table_id"], "left_anti")
-    leaves = fields.select("schema_id").unionByName(columns.select("schema_id"))
-    folded = options.withColumn("folded", F.lower("label"))
-    return _union([
-        _rules(schemas, F.lit(""), [
-            ("document_type", _bad_id(F.col("document_type"))),
-            ("type_label", _labelled(F.col("document_type_label"), MAX_LABEL)),
-            ("language", ~trim_all(F.col("language")).rlike(LANGUAGE_TAG)),
-            ("title", _labelled(F.col("title"), MAX_TITLE)),
-            ("schema_version", F.col("schema_version") != 1),
-        ]),
-        _rules(sections, section, [
-            ("section_id", _bad_id(section)), ("section_label", label), ("description", long_text),
-        ]),
-        _rules(fields, field, [
-            ("field_id", _bad_id(field)), ("field_label", label), ("description", long_text),
-            ("value_type", ~F.col("value_type").isin(*FIELD_TYPES)),
-        ]),
-        _rules(tables, table, [
-            ("table_id", _bad_id(table)), ("table_label", label), ("description", long_text),
-        ]),
-        _rules(columns, column_path, [
-            ("column_id", _bad_id(F.col("column_id"))), ("column_label", label),
-            ("description", long_text), ("value_type", ~F.col("value_type").isin(*CELL_TYPES)),
-        ]),
-        _rules(choices, field, [
-            ("options_missing", is_choice & (F.col("n") == 0)),
-            ("options_many", is_choice & (F.col("n") > MAX_OPTIONS)),
-            ("options_unexpected", ~is_choice & (F.col("n") > 0)),
-        ]),
-        _rules(options, F.concat_ws(".", field, F.col("option_ix").cast("string")), [
-            ("option_text", label | _labelled(F.col("value"), MAX_LABEL)),
-        ]),
-        _repeated(options, ["schema_id", "field_id", "value"], field, "duplicate_option_value"),
-        _repeated(folded, ["schema_id", "field_id", "folded"], field, "duplicate_option_label"),
-        _repeated(sections, ["schema_id", "section_id"], section, "duplicate_section"),
-        _repeated(fields, ["schema_id", "field_id"], field, "duplicate_field"),
-        _repeated(tables, ["schema_id", "table_id"], table, "duplicate_table"),
-        _repeated(columns, ["schema_id", "table_id", "column_id"], column_path, "duplicate_column"),
-        _over(sections, ["schema_id"], F.lit(""), MAX_SECTIONS, "many_sections"),
-        _over(fields, ["schema_id", "section_id"], section, MAX_SECTION_FIELDS, "many_section_fields"),
-        _over(fields, ["schema_id"], F.lit(""), MAX_FIELDS, "many_fields"),
-        _over(tables, ["schema_id"], F.lit(""), MAX_TABLES, "many_tables"),
-        _over(columns, ["schema_id", "table_id"], table, MAX_COLUMNS, "many_columns"),
-        bare.select("schema_id", section.alias("path"), F.lit("empty_section").alias("rule")),
-        empty_tables.select("schema_id", table.alias("path"), F.lit("empty_table").alias("rule")),
-        _without(schemas, leaves, "no_fields_or_columns"),
+    is_choice = kind == "select"
+    return settle([
+        claims(
+            schemas,
+            breach("document_type", whole, _bad_id(F.col("document_type"))),
+            breach("type_label", whole, _labelled(F.col("document_type_label"), MAX_LABEL)),
+            breach("language", whole, ~trim_all(F.col("language")).rlike(LANGUAGE_TAG)),
+            breach("title", whole, _labelled(F.col("title"), MAX_TITLE)),
+            breach("schema_version", whole, F.col("schema_version") != 1),
+            parent("no_fields_or_columns", whole),
+        ),
+        claims(
+            sections,
+            breach("section_id", section, _bad_id(section)),
+            breach("section_label", section, label),
+            breach("description", section, long_text),
+            unique("duplicate_section", section, section),
+            at_most("many_sections", whole, MAX_SECTIONS),
+            parent("empty_section", section, section),
+        ),
+        claims(
+            fields,
+            breach("field_id", field, _bad_id(field)),
+            breach("field_label", field, label),
+            breach("description", field, long_text),
+            breach("value_type", field, ~kind.isin(*FIELD_TYPES)),
+            unique("duplicate_field", field, field),
+            at_most("many_section_fields", section, MAX_SECTION_FIELDS, section),
+            at_most("many_fields", whole, MAX_FIELDS),
+            needs("options_missing", field, field, condition=is_choice),
+            bounded("options_many", field, MAX_OPTIONS, field, condition=is_choice),
+            bars("options_unexpected", field, kind, field, condition=~is_choice),
+            child("empty_section", section, section),
+            child("no_fields_or_columns", whole),
+        ),
+        claims(
+            options,
+            breach("option_text", option_path, label | _labelled(value, MAX_LABEL)),
+            unique("duplicate_option_value", field, field, value),
+            unique("duplicate_option_label", field, field, F.lower("label")),
+            child("options_missing", field, field),
+            child("options_many", field, field),
+            child("options_unexpected", field, field),
+        ),
+        claims(
+            tables,
+            breach("table_id", table, _bad_id(table)),
+            breach("table_label", table, label),
+            breach("description", table, long_text),
+            unique("duplicate_table", table, table),
+            at_most("many_tables", whole, MAX_TABLES),
+            parent("empty_table", table, table),
+        ),
+        claims(
+            columns,
+            breach("column_id", column_path, _bad_id(column)),
+            breach("column_label", column_path, label),
+            breach("description", column_path, long_text),
+            breach("value_type", column_path, ~kind.isin(*CELL_TYPES)),
+            unique("duplicate_column", column_path, table, column),
+            at_most("many_columns", table, MAX_COLUMNS, table),
+            child("empty_table", table, table),
+            child("no_fields_or_columns", whole),
+        ),
     ])
 
 
