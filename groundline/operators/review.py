@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from groundline.functions.numbers import parse_scalar_number, plain_number
 from groundline.functions.text import collapse, safe_stem, trim_all
-
-
-_VALUE = "struct<v_str:string,v_num:double,v_bool:boolean>"
+from groundline.operators.table_replay import apply_table_edits, typed  # noqa: F401  (part of this module's interface)
 
 
 def default_values(documents: DataFrame, fields: DataFrame) -> DataFrame:
@@ -31,16 +29,6 @@ def initial_review_values(documents: DataFrame, fields: DataFrame, values: DataF
     return rows.select("doc_id", "schema_id", "ordinal", "field_key", text.alias("v_str"), "v_num")
 
 
-def typed(rows: DataFrame) -> Column:
-    """The value of a row; kinds of value that a table has no column for are null."""
-    return F.struct(
-        *(
-            F.col(name).cast(kind).alias(name) if name in rows.columns else F.lit(None).cast(kind).alias(name)
-            for name, kind in (("v_str", "string"), ("v_num", "double"), ("v_bool", "boolean"))
-        )
-    )
-
-
 def apply_field_edits(values: DataFrame, edits: DataFrame) -> DataFrame:
     """The last edit of a field replaces its value: text, number and truth value together."""
     edited = edits.filter(F.col("op") == "set_field").groupBy(
@@ -52,64 +40,6 @@ def apply_field_edits(values: DataFrame, edits: DataFrame) -> DataFrame:
     )
 
 
-def apply_table_edits(cells: DataFrame, edits: DataFrame, columns: DataFrame) -> DataFrame:
-    """Cell, add-row and remove-row edits of a table, in edit order.
-
-    Rows are addressed by their position at the time of the edit, so the edits of one
-    table depend on each other. They are folded into the table's own rows; a table has
-    at most five hundred rows and its edits come from one review session.
-    """
-    key = ["doc_id", "table_id"]
-    rows = cells.groupBy(*key, "row_ix").agg(
-        F.array_sort(F.collect_list(F.struct("column_id", typed(cells).alias("v")))).alias("row")
-    )
-    tables = rows.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("row_ix", "row"))).alias("r")
-    ).select(*key, F.transform("r", lambda item: F.map_from_entries(item["row"])).alias("rows"))
-    steps = edits.filter(F.col("op") != "set_field").groupBy(
-        "doc_id", F.col("target_id").alias("table_id")
-    ).agg(
-        F.array_sort(F.collect_list(F.struct("seq", "op", "row_ix", "column_id", typed(edits).alias("v")))).alias("steps")
-    )
-    blank = columns.groupBy("doc_id", "table_id").agg(
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("column_id", F.lit(None).cast(_VALUE).alias("v"))))
-        ).alias("blank")
-    )
-    joined = tables.join(steps, key, "full").join(blank, key, "left")
-    none = F.array().cast(f"array<map<string,{_VALUE}>>")
-
-    def without(row: Column, column: Column) -> Column:
-        return F.map_filter(row, lambda name, _: name != column)
-
-    def step(state: Column, edit: Column) -> Column:
-        def changed(row: Column, position: Column) -> Column:
-            here = (position == edit["row_ix"])
-            value = F.create_map(edit["column_id"], edit["v"])
-            return F.when(here, F.map_concat(without(row, edit["column_id"]), value)).otherwise(row)
-
-        return (
-            F.when(edit["op"] == "set_cell", F.transform(state, changed))
-            .when(edit["op"] == "add_row", F.concat(state, F.array(F.col("blank"))))
-            .when(
-                edit["op"] == "remove_row",
-                F.filter(state, lambda row, position: position != edit["row_ix"]),
-            )
-            .otherwise(state)
-        )
-
-    edited = F.reduce(
-        F.coalesce("steps", F.array().cast(f"array<struct<seq:bigint,op:string,row_ix:int,column_id:string,v:{_VALUE}>>")),
-        F.coalesce("rows", none),
-        step,
-    )
-    return (
-        joined.select(*key, F.posexplode(edited).alias("row_ix", "row"))
-        .select(*key, "row_ix", F.explode("row").alias("column_id", "v"))
-        .select(*key, "row_ix", "column_id", "v.*")
-    )
-
-
 def edited_flags(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Per key, whether text, number or truth value changed. Review states are left as they were."""
     left = before.select(*keys, typed(before).alias("before"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from groundline.operators.validate import (
 from groundline.plans import oracle_forms as o
 from groundline.plans.registry import Tables, query
 from groundline.sources.registered import load_definitions, load_templates
+from groundline.session import ensure_checkpoint_dir
+from groundline.streaming.jobs import ground_stream
 
 SOURCES = f"""
 src AS (SELECT doc_id, schema_id, {o.minimal('content')} AS smin, {o.search('content')} AS ssea,
@@ -99,6 +103,23 @@ def ground_fields(t: Tables) -> DataFrame:
     return reviews(t).select("doc_id", "schema_id", "field_key", "match_type", "status", "confidence")
 
 
+@query(f"WITH {REVIEWS} SELECT doc_id, schema_id, field_key, match_type, status, confidence FROM reviews")
+def ground_arrivals(t: Tables) -> DataFrame:
+    """The reviews of orders that arrive as a stream of files; the stream ends with what is there now."""
+    ensure_checkpoint_dir(t.spark)
+    folder = f"{t.spark.sparkContext.getCheckpointDir()}/arrivals-{uuid.uuid4().hex}"
+    # As a pattern, which a stream takes for one file and for a folder of files alike.
+    source = f"{t.sf_dir}/orders.parque[t]"
+    arrivals = t.spark.readStream.schema(t.given("orders").schema).option("maxFilesPerTrigger", 64).parquet(source)
+
+    def ground_batch(batch: DataFrame) -> DataFrame:
+        return ground_fields(Tables(batch.sparkSession, t.sf_dir, orders=batch))
+
+    writer = ground_stream(arrivals, ground_batch, f"{folder}/reviews", f"{folder}/progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{folder}/reviews").drop("batch")
+
+
 @query(f"WITH {REVIEWS} SELECT * FROM summary")
 def grounding_summary(t: Tables) -> DataFrame:
     return summarize(reviews(t))

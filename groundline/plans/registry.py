@@ -13,12 +13,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Tables:
-    """Given and derived tables of one data folder by name."""
+    """Given and derived tables of one data folder by name; ``known`` ones stand in for those of the folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, **known: DataFrame) -> None:
         self.spark = tune(spark)
         self.sf_dir = sf_dir
-        self._known: dict[str, DataFrame] = {}
+        self._known: dict[str, DataFrame] = dict(known)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._known:
