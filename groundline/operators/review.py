@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundline.functions.numbers import parse_scalar_number, plain_number
@@ -87,6 +87,30 @@ def review_dashboard(results: DataFrame) -> DataFrame:
     )
 
 
+def confidence_percentiles(results: DataFrame, shares: tuple[int, ...] = (50, 95)) -> DataFrame:
+    """Confidence percentiles by schema, format and source, with subtotals as :func:`review_dashboard` has them.
+
+    ``results`` has ``schema_id, source_format, source, confidence``. Documents are first counted per whole percent,
+    as a reviewer sees it, and those counts are added up for the subtotals: a group is a hundred and one
+    rows at most, however many documents it has, and its percentiles are exact. ``pN`` is the smallest percent that
+    at least N of 100 documents of the group do not exceed; documents without a confidence are not counted.
+    """
+    levels = ["schema_id", "source_format", "source"]
+    percent = F.floor(F.col("confidence") * 100 + 0.5).alias("percent")
+    counts = results.select(*levels, percent).filter(F.col("percent").isNotNull()).groupBy(*levels, "percent").count()
+    sets = [[*levels[:size], "percent"] for size in range(len(levels), -1, -1)]
+    summed = counts.groupingSets(sets, *levels, "percent").agg(
+        F.grouping_id().alias("level"), F.sum("count").alias("n")
+    )
+    group = Window.partitionBy("level", *levels)
+    upto = F.sum("n").over(group.orderBy("percent"))
+    ranked = summed.withColumn("upto", upto).withColumn("total", F.sum("n").over(group))
+    reached = [
+        F.min(F.when(F.col("upto") * 100 >= F.col("total") * share, F.col("percent"))).alias(f"p{share}") for share in shares
+    ]
+    return ranked.groupBy("level", *levels).agg(F.sum("n").alias("documents"), *reached).drop("level")
+
+
 def warning_labels(warnings: DataFrame, documents: DataFrame, fields: DataFrame) -> DataFrame:
     """The field labels of each warning in key order; unknown keys are left out."""
     labels = fields.select("schema_id", F.col("field_key").alias("key"), "label")

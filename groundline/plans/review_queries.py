@@ -101,6 +101,19 @@ def review_dashboard(t: Tables) -> DataFrame:
     return rv.review_dashboard(results.join(source, "doc_id"))
 
 
+@query(f"""WITH {REVIEWS},
+r AS (SELECT schema_id, CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' END AS source_format, o.o_orderpriority AS source,
+  CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS percent FROM summary s JOIN @orders o ON o.o_orderkey = s.doc_id)
+SELECT schema_id, source_format, source, count(*) AS documents, quantile_disc(percent, 0.5) AS p50, quantile_disc(percent, 0.95) AS p95
+FROM r GROUP BY ROLLUP (schema_id, source_format, source)""")
+def confidence_percentiles(t: Tables) -> DataFrame:
+    k = F.col("doc_id")
+    source = t.given("orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("source"))
+    source_format = F.when(k % 3 == 0, "pdf").when(k % 3 == 1, "docx")
+    results = summarize_grounding(reviews(t)).join(source, "doc_id").withColumn("source_format", source_format)
+    return rv.confidence_percentiles(results)
+
+
 @query(f"""WITH {REVIEWS},
 k AS (SELECT doc_id, schema_id, ordinal, field_key, CASE WHEN status = 'missing' AND required THEN 1 WHEN status = 'needs_review' THEN 2 END AS w FROM reviews)
 SELECT doc_id, CASE w WHEN 1 THEN 'REQUIRED_FIELDS_MISSING' ELSE 'FIELDS_REQUIRE_REVIEW' END AS code, string_agg(f.label, ', ' ORDER BY k.ordinal) AS labels

@@ -221,3 +221,15 @@ def test_characters_are_decoded_once_by_name_or_number(spark):
     page = "<p>caf&eacute; &lt;b&gt; &amp;lt; &#38;gt; &#x41;&#66; it&apos;s&nbsp;5&euro; &unknown; &#0; A&B &; x&amp</p>"
     got = html.html_blocks(spark.createDataFrame([(1, page)], "page_id long, html string")).first().content
     assert got == "caf\u00e9 <b> &lt; &gt; AB it's 5\u20ac &unknown; &#0; A&B &; x&amp"
+
+
+def test_confidence_percentiles_of_groups_and_subtotals(spark):
+    rows = [("s", "pdf", "a", n / 100) for n in range(1, 101)] + [("s", "pdf", None, 0.5), ("s", None, "a", None), ("u", "pdf", "a", 1.0)]
+    results = spark.createDataFrame(rows, "schema_id string, source_format string, source string, confidence double")
+    got = {tuple(r) for r in review.confidence_percentiles(results, (1, 50, 95)).collect()}
+    assert got == {
+        ("s", "pdf", "a", 100, 1, 50, 95), ("s", "pdf", None, 1, 50, 50, 50), ("u", "pdf", "a", 1, 100, 100, 100),
+        ("s", "pdf", None, 101, 2, 50, 95), ("u", "pdf", None, 1, 100, 100, 100),
+        ("s", None, None, 101, 2, 50, 95), ("u", None, None, 1, 100, 100, 100), (None, None, None, 102, 2, 50, 96),
+    }
+    assert review.confidence_percentiles(results.limit(0)).count() == 0
