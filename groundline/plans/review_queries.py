@@ -185,6 +185,16 @@ def quota_windows(t: Tables) -> DataFrame:
     return jobs.quota_windows(t.given("events"), "user_id", limit=2, window="1 day")
 
 
+# A recursive walk over each client's moments: the next window starts at the first request after the last one's end.
+@query("""WITH RECURSIVE e AS (SELECT user_id AS client, CAST(ts AS TIMESTAMP) AS m, count(*) AS n FROM @events WHERE ts IS NOT NULL GROUP BY ALL),
+s AS (SELECT a.client, a.m, min(b.m) AS later FROM e a LEFT JOIN e b ON b.client = a.client AND b.m >= a.m + INTERVAL 1 DAY GROUP BY ALL),
+w AS (SELECT client, min(m) AS m FROM e GROUP BY client UNION ALL SELECT s.client, s.later FROM w JOIN s ON s.client = w.client AND s.m = w.m WHERE s.later IS NOT NULL)
+SELECT w.client, w.m AS window_start, CAST(sum(n) AS BIGINT) AS requests, CAST(greatest(0, sum(n) - 2) AS BIGINT) AS refused
+FROM w JOIN e ON e.client = w.client AND e.m >= w.m AND e.m < w.m + INTERVAL 1 DAY GROUP BY ALL""")
+def client_quota_windows(t: Tables) -> DataFrame:
+    return jobs.client_windows(t.given("events"), "user_id", limit=2, seconds=86_400)
+
+
 @query("""SELECT request, count(*) AS n FROM (SELECT DISTINCT 'req-' || user_id || '-' || event_type AS request FROM @events) x GROUP BY request""")
 def deduplicated_requests(t: Tables) -> DataFrame:
     key = F.concat_ws("-", F.lit("req"), "user_id", "event_type")

@@ -254,6 +254,52 @@ def analysis_layouts(t: Tables) -> DataFrame:
     return parts.join(layouts.select("doc_id", "content_unit", "content_unit_count"), "doc_id")
 
 
+def _regions_and_spans(t: Tables) -> DataFrame:
+    """Analysis JSON made from each page, with up to two regions an item on pages of their own size, and spans."""
+    k = F.col("page_id")
+    fmt = F.when(k % 3 == 0, "pdf").when(k % 3 == 1, "xlsx").otherwise("html")
+    page = lambda n, w, h: F.struct(F.lit(n).alias("pageNumber"), F.lit(w).alias("width"), F.lit(h).alias("height"))
+    corners = lambda n: F.array(*[F.lit(float(x)) for x in (n, 0, n, 1, 0, 1, 0, 0)])
+    regions = F.array(*[F.struct(F.lit(n).alias("pageNumber"), corners(n).alias("polygon")) for n in (1, 2)])
+    span = lambda offset, length: F.struct(F.lit(offset).alias("offset"), length.alias("length"))
+    some = lambda n: F.slice(regions, F.lit(1), n)
+    body = F.to_json(F.struct(
+        F.col("html").alias("content"), F.array(page(1, 8, 4), page(2, 2, 2)).alias("pages"),
+        F.array(
+            F.struct(F.col("url").alias("content"), some((k % 3).cast("int")).alias("boundingRegions"), F.array(span(0, k % 7), span(-1, k % 2)).alias("spans")),
+            F.struct(F.lit(" ").alias("content"), some(F.lit(0)).alias("boundingRegions"), F.array(span(3, k % 5)).alias("spans")),
+        ).alias("paragraphs"),
+        F.array(F.struct(
+            F.lit(1).alias("rowCount"), (k % 4).alias("columnCount"), regions.alias("boundingRegions"),
+            F.array(F.struct(F.repeat(F.lit("x"), (k % 3 + 9_999).cast("int")).alias("content"), some(F.lit(1)).alias("boundingRegions"))).alias("cells"),
+        )).alias("tables"),
+    ))
+    return t.given("pages").select(k.alias("doc_id"), fmt.alias("source_format"), body.alias("body"))
+
+
+@query("""WITH i AS (SELECT page_id AS doc_id, 'block' AS part, 0 AS ix, length(url) AS n_chars, CAST(NULL AS VARCHAR) AS loss, page_id % 3 AS regions,
+    1 AS n_spans, page_id % 7 AS span_chars FROM @pages
+  UNION ALL SELECT page_id, 'block', 1, 1, 'blank', 0, 1, page_id % 5 FROM @pages
+  UNION ALL SELECT page_id, 'table', 0, NULL, CASE WHEN page_id % 4 = 0 THEN 'no_size' END, 2, 0, 0 FROM @pages
+  UNION ALL SELECT page_id, 'cell', 0, least(10000, 9999 + page_id % 3),
+    CASE WHEN page_id % 4 = 0 THEN 'table_dropped' WHEN page_id % 3 = 2 THEN 'content_cut' END, 1, 0, 0 FROM @pages)
+SELECT i.doc_id, part, ix, n_chars, loss, loss IS NULL OR loss = 'content_cut' AS kept, n_spans, span_chars, region_ix,
+  CASE WHEN region_ix >= 0 THEN CASE doc_id % 3 WHEN 0 THEN 'page' WHEN 1 THEN 'sheet' ELSE 'html' END END AS place,
+  CASE WHEN doc_id % 3 = 0 THEN region_ix + 1 END AS page_number, CASE WHEN doc_id % 3 = 1 THEN 'Sheet ' || (region_ix + 1) END AS sheet_name,
+  CASE region_ix WHEN 0 THEN 0.125::DOUBLE WHEN 1 THEN 1.0::DOUBLE END AS corner_x
+FROM i JOIN @pages ON page_id = i.doc_id LEFT JOIN (VALUES (0), (1)) r(region_ix) ON region_ix < regions
+WHERE length(html) <= 100000 AND length(trim(html)) > 0""")
+def analysis_items(t: Tables) -> DataFrame:
+    rows = layout.read_items(_regions_and_spans(t))
+    return rows.select(
+        "doc_id", "part", "ix", F.length("content").alias("n_chars"), "loss", "kept", F.size("spans").alias("n_spans"),
+        F.aggregate("spans", F.lit(0), lambda n, s: n + s["length"]).alias("span_chars"), F.posexplode_outer("regions").alias("region_ix", "region"),
+    ).select(
+        "doc_id", "part", "ix", "n_chars", "loss", "kept", "n_spans", "span_chars", "region_ix", F.col("region.location.kind").alias("place"),
+        "region.location.page_number", "region.location.sheet_name", F.get("region.polygon", F.lit(0))["x"].alias("corner_x"),
+    )
+
+
 @query("""SELECT page_id AS doc_id, CASE WHEN page_id % 9 = 3 THEN 'unreadable' WHEN page_id % 9 = 1 THEN 'blank_content'
   ELSE 'content_too_long' END AS reason FROM @pages
   WHERE page_id % 9 IN (1, 3) OR length(html) * CASE WHEN page_id % 9 = 2 THEN 40 ELSE 1 END > 100000""")

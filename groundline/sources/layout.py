@@ -140,8 +140,9 @@ ANALYSIS_SCHEMA = (
     "pages array<struct<pageNumber:double,width:double,height:double>>,"
     f"paragraphs array<struct<content:string,role:string,boundingRegions:array<{_REGION}>,spans:array<{_SPAN}>>>,"
     "tables array<struct<rowCount:double,columnCount:double,"
+    f"boundingRegions:array<{_REGION}>,spans:array<{_SPAN}>,"
     f"cells:array<struct<content:string,confidence:double,rowIndex:double,columnIndex:double,"
-    f"rowSpan:double,columnSpan:double,boundingRegions:array<{_REGION}>>>>>"
+    f"rowSpan:double,columnSpan:double,boundingRegions:array<{_REGION}>,spans:array<{_SPAN}>>>>>"
 )
 
 
@@ -162,6 +163,30 @@ def _first_region(regions: Column, pages: Column, source_format: Column) -> tupl
     return number, normalize_polygon(region["polygon"], width, height)
 
 
+def _all_regions(regions: Column, pages: Column, source_format: Column) -> Column:
+    """Location and normalised polygon of each of an item's regions, by its own page's size."""
+
+    def read(region: Column) -> Column:
+        number = _whole(region["pageNumber"], 1, 1)
+        page = F.element_at(F.filter(pages, lambda p: p["number"] == number), -1)
+        width, height = F.coalesce(page["width"], F.lit(1.0)), F.coalesce(page["height"], F.lit(1.0))
+        return F.struct(
+            location(source_format, number).alias("location"),
+            normalize_polygon(region["polygon"], width, height).alias("polygon"),
+        )
+
+    return F.transform(F.filter(F.slice(F.coalesce(regions, F.array()), 1, MAX_REGIONS), lambda r: r.isNotNull()), read)
+
+
+def _all_spans(spans: Column) -> Column:
+    """Offsets and lengths of an item's spans; those that are not whole and from 0 are dropped."""
+    read = F.transform(
+        F.slice(F.coalesce(spans, F.array()), 1, MAX_ITEMS),
+        lambda s: F.struct(_whole(s["offset"], 0, None).alias("offset"), _whole(s["length"], 0, None).alias("length")),
+    )
+    return F.filter(read, lambda s: s["offset"].isNotNull() & s["length"].isNotNull())
+
+
 def rejected_analysis(responses: DataFrame) -> DataFrame:
     """``doc_id, reason`` of responses that :func:`read_analysis` leaves out or reads in part."""
     r = F.from_json("body", ANALYSIS_SCHEMA)
@@ -179,18 +204,10 @@ def rejected_analysis(responses: DataFrame) -> DataFrame:
     return rows.filter(F.col("reason").isNotNull())
 
 
-def read_analysis(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Layouts, blocks and cells from analysis JSON (``doc_id, source_format, body``).
-
-    Malformed items are dropped and missing integers defaulted; a response without usable
-    content has no layout. Arrays are cut at the item bounds before they are exploded; the documents
-    this concerns, and those without a layout, are listed by :func:`rejected_analysis`.
-    """
-    parsed = responses.select(
-        "doc_id", "source_format", F.from_json("body", ANALYSIS_SCHEMA).alias("r")
-    )
+def _parsed_analysis(responses: DataFrame) -> DataFrame:
+    """``doc_id, source_format, r, pages`` of the responses with usable content, pages with their sizes."""
+    parsed = responses.select("doc_id", "source_format", F.from_json("body", ANALYSIS_SCHEMA).alias("r"))
     content = F.col("r.content")
-    usable = (~is_blank(content)) & (F.length(content) <= MAX_CONTENT)
     pages = F.transform(
         F.filter(F.slice(F.coalesce("r.pages", F.array()), 1, MAX_ITEMS), lambda p: p.isNotNull()),
         lambda p, i: F.struct(
@@ -199,7 +216,67 @@ def read_analysis(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
             F.when(p["height"] > 0, p["height"]).otherwise(1.0).alias("height"),
         ),
     )
-    parsed = parsed.filter(usable).withColumn("pages", pages)
+    return parsed.filter((~is_blank(content)) & (F.length(content) <= MAX_CONTENT)).withColumn("pages", pages)
+
+
+def read_items(responses: DataFrame) -> DataFrame:
+    """Every block, table and cell of the usable responses, with all its regions and spans.
+
+    Gives ``doc_id, part, table_ix, ix, content, regions, spans, loss, kept``. ``ix`` is the place of a
+    block in its document, of a table likewise and of a cell in its table. ``loss`` says why an item is
+    not part of the layout (``kept`` false) or only in part (``kept`` true): ``malformed``, ``blank``,
+    ``too_long``, ``no_size``, ``table_dropped``, ``beyond_limit``, ``content_cut``, ``regions_cut``.
+    No item is left out, so what a layout lacks can be told from this table. One pass, no shuffle.
+    """
+    fmt, pages = F.col("source_format"), F.col("pages")
+    cut_regions = lambda item: F.coalesce(F.size(item["boundingRegions"]) > MAX_REGIONS, F.lit(False))
+
+    def entry(part: str, table_ix: Column, ix: Column, item: Column, content: Column, dropped: Column, reduced: Column) -> Column:
+        return F.struct(
+            F.lit(part).alias("part"), table_ix.cast("int").alias("table_ix"), ix.cast("int").alias("ix"),
+            content.cast("string").alias("content"), _all_regions(item["boundingRegions"], pages, fmt).alias("regions"),
+            _all_spans(item["spans"]).alias("spans"), F.coalesce(dropped, reduced).alias("loss"), dropped.isNull().alias("kept"),
+        )
+
+    def block(p: Column, i: Column) -> Column:
+        dropped = (
+            F.when(p.isNull(), "malformed").when(i >= MAX_ITEMS, "beyond_limit")
+            .when(is_blank(p["content"]), "blank").when(F.length(p["content"]) > MAX_CONTENT, "too_long")
+        )
+        return entry("block", F.lit(None), i, p, p["content"], dropped, F.when(cut_regions(p), "regions_cut"))
+
+    def table_loss(t: Column, i: Column) -> Column:
+        sized = F.coalesce((_whole(t["rowCount"], 1, 0) > 0) & (_whole(t["columnCount"], 1, 0) > 0), F.lit(False))
+        return F.when(t.isNull(), "malformed").when(i >= MAX_TABLES, "beyond_limit").when(~sized, "no_size")
+
+    def table(t: Column, i: Column) -> Column:
+        return entry("table", i, i, t, F.lit(None), table_loss(t, i), F.when(cut_regions(t), "regions_cut"))
+
+    def cells(t: Column, i: Column) -> Column:
+        def cell(c: Column, j: Column) -> Column:
+            text = F.coalesce(c["content"], F.lit(""))
+            dropped = F.when(table_loss(t, i).isNotNull(), "table_dropped").when(c.isNull(), "malformed").when(j >= MAX_CELLS, "beyond_limit")
+            reduced = F.when(F.length(text) > MAX_CELL_CHARS, "content_cut").when(cut_regions(c), "regions_cut")
+            return entry("cell", i, j, c, F.left(text, F.lit(MAX_CELL_CHARS)), dropped, reduced)
+
+        return F.transform(F.coalesce(t["cells"], F.array()), cell)
+
+    tables = F.coalesce(F.col("r.tables"), F.array())
+    items = F.concat(
+        F.transform(F.coalesce(F.col("r.paragraphs"), F.array()), block),
+        F.transform(tables, table), F.flatten(F.transform(tables, cells)),
+    )
+    return _parsed_analysis(responses).select("doc_id", F.explode(items).alias("i")).select("doc_id", "i.*")
+
+
+def read_analysis(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Layouts, blocks and cells from analysis JSON (``doc_id, source_format, body``).
+
+    Malformed items are dropped and missing integers defaulted; a response without usable
+    content has no layout. Arrays are cut at the item bounds before they are exploded; the documents
+    this concerns, and those without a layout, are listed by :func:`rejected_analysis`.
+    """
+    parsed = _parsed_analysis(responses)
     page_numbers = F.array_distinct(F.transform("pages", lambda p: p["number"]))
     layouts = parsed.select(
         "doc_id", "source_format", F.col("r.content").alias("content"),

@@ -32,6 +32,34 @@ def test_responses_that_are_left_out_have_a_reason(spark):
     assert {r.doc_id: r.reason for r in got.collect()} == {1: "unreadable", 2: "blank_content", 3: "content_too_long", 4: "too_many_tables"}
 
 
+def test_items_keep_all_regions_and_say_what_is_lost(spark):
+    square = [0, 0, 1, 0, 1, 1, 0, 1]
+    body = {
+        "content": "x", "pages": [{"pageNumber": 1, "width": 2, "height": 4}, {"pageNumber": 3, "width": 5, "height": 1}],
+        "paragraphs": [
+            {"content": "a", "boundingRegions": [{"pageNumber": 1, "polygon": square}, {"pageNumber": 3, "polygon": square}, {"pageNumber": 9, "polygon": [1, 2]}],
+             "spans": [{"offset": 0, "length": 1}, {"offset": 0.5, "length": 1}, {"offset": 4, "length": -1}, {"offset": 7, "length": 0}]},
+            {"content": "b", "boundingRegions": [{"pageNumber": 1}] * 101}, {"content": " "}, None, {"content": "y" * 100_001},
+        ],
+        "tables": [
+            {"rowCount": 1, "columnCount": 1, "boundingRegions": [{"pageNumber": 3}], "cells": [{"content": "z" * 10_001}, {}, None]},
+            {"rowCount": 0, "columnCount": 1, "cells": [{"content": "lost"}]},
+        ],
+    }
+    rows = [(1, "pdf", json.dumps(body)), (2, "pdf", '{"content": "only"}'), (3, "pdf", None), (4, None, '{"content": " "}')]
+    got = {(r.part, r.table_ix, r.ix): r for r in layout.read_items(spark.createDataFrame(rows, "doc_id long, source_format string, body string")).collect()}
+    first = got["block", None, 0]
+    assert [r.location.page_number for r in first.regions] == [1, 3, 9] and [tuple(s) for s in first.spans] == [(0, 1), (7, 0)]
+    assert [tuple(r.polygon[1]) if r.polygon else None for r in first.regions] == [(0.5, 0.0), (0.2, 0.0), None] and first.loss is None
+    losses = {k: (r.loss, r.kept) for k, r in got.items() if r.loss}
+    assert losses == {
+        ("block", None, 1): ("regions_cut", True), ("block", None, 2): ("blank", False), ("block", None, 3): ("malformed", False),
+        ("block", None, 4): ("too_long", False), ("cell", 0, 0): ("content_cut", True), ("cell", 0, 2): ("malformed", False),
+        ("table", 1, 1): ("no_size", False), ("cell", 1, 0): ("table_dropped", False),
+    }
+    assert len(got["block", None, 1].regions) == 100 and len(got["cell", 0, 0].content) == 10_000 and got["cell", 0, 1].content == ""
+
+
 def test_edits_of_numbers_and_truth_values(spark):
     before = spark.createDataFrame([(1, "a", None, 1.0, None), (1, "b", None, None, True), (1, "c", "x", None, None)], "doc_id long, field_id string, v_str string, v_num double, v_bool boolean")
     edits = spark.createDataFrame([(1, 1, "set_field", "a", None, None, None, 2.0, None), (1, 2, "set_field", "b", None, None, None, None, False)], "doc_id long, seq long, op string, target_id string, row_ix int, column_id string, v_str string, v_num double, v_bool boolean")
