@@ -190,6 +190,29 @@ def classify_failures(log: DataFrame) -> DataFrame:
     )
 
 
+def classify_layout_failures(log: DataFrame) -> DataFrame:
+    """Failed layout requests with a stable code and the status to answer with.
+
+    ``log`` has ``request_id, http_status, timed_out, cancelled, operation_status``, one row per last
+    answer. Answers that succeeded, and operations that still run, are no failures. A request without
+    any status did not reach the provider. Null flags count as false.
+    """
+    status, said = F.col("http_status"), F.lower(F.coalesce("operation_status", F.lit("")))
+    # Codes and statuses, first match wins.
+    code, answer = (
+        F.when(F.col("timed_out"), outcomes[0]).when(F.col("cancelled"), outcomes[1])
+        .when(status.isNull(), outcomes[2]).when(status == 429, outcomes[3]).when(status >= 500, outcomes[2])
+        .when(~status.between(200, 299), outcomes[4]).when(said == "failed", outcomes[5])
+        .when(~said.isin("succeeded", "running", "notstarted"), outcomes[6])
+        for outcomes in (
+            ("LAYOUT_TIMEOUT", "LAYOUT_FAILED", "LAYOUT_UNAVAILABLE", "LAYOUT_RATE_LIMITED", "LAYOUT_UNAVAILABLE", "LAYOUT_FAILED", "LAYOUT_INVALID_RESPONSE"),
+            (503, 499, 503, 503, 502, 422, 502),
+        )
+    )
+    rows = log.select("request_id", code.alias("mapped_code"), answer.alias("answer_status"))
+    return rows.filter(F.col("mapped_code").isNotNull())
+
+
 def batch_failure_metrics(failed: DataFrame, batches: DataFrame) -> DataFrame:
     """Failed batches with the size of what they asked for.
 

@@ -424,6 +424,19 @@ def classified_failures(t: Tables) -> DataFrame:
     return rs.classify_failures(t.failure_log)
 
 
+@query("""WITH l AS (SELECT request_id, http_status, request_id % 11 = 0 AS late, request_id % 13 = 0 AS gone,
+  CASE request_id % 5 WHEN 0 THEN 'Failed' WHEN 1 THEN 'succeeded' WHEN 2 THEN 'notStarted' WHEN 3 THEN 'lost' END AS said FROM failure_log),
+c AS (SELECT request_id, CASE WHEN late THEN 'TIMEOUT 503' WHEN gone THEN 'FAILED 499' WHEN http_status IS NULL OR http_status >= 500 THEN 'UNAVAILABLE 503'
+  WHEN http_status = 429 THEN 'RATE_LIMITED 503' WHEN http_status >= 400 THEN 'UNAVAILABLE 502' WHEN said = 'Failed' THEN 'FAILED 422'
+  WHEN said = 'lost' OR said IS NULL THEN 'INVALID_RESPONSE 502' END AS x FROM l)
+SELECT request_id, 'LAYOUT_' || split_part(x, ' ', 1) AS mapped_code, CAST(split_part(x, ' ', 2) AS INT) AS answer_status FROM c WHERE x IS NOT NULL""")
+def layout_failures(t: Tables) -> DataFrame:
+    k = F.col("request_id")
+    said = F.when(k % 5 == 0, "Failed").when(k % 5 == 1, "succeeded").when(k % 5 == 2, "notStarted").when(k % 5 == 3, "lost")
+    log = t.failure_log.withColumns({"timed_out": k % 11 == 0, "cancelled": k % 13 == 0, "operation_status": said})
+    return rs.classify_layout_failures(log)
+
+
 @query("""WITH x AS (SELECT k AS doc_id, k AS schema_id, 'fields_1' AS batch_id, 500 + k % 4 AS http_status FROM order_facts)
 SELECT x.schema_id, x.batch_id, x.doc_id, x.http_status, (SELECT count(*) FROM notice_fields f WHERE f.schema_id = x.schema_id) AS fields,
   (SELECT count(*) FILTER (repeatable) FROM notice_fields f WHERE f.schema_id = x.schema_id) AS repeatables, 0 AS tables FROM x""")
