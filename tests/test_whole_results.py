@@ -261,3 +261,17 @@ def test_confidence_percentiles_of_groups_and_subtotals(spark):
         ("s", None, None, 101, 2, 50, 95), ("u", None, None, 1, 100, 100, 100), (None, None, None, 102, 2, 50, 96),
     }
     assert review.confidence_percentiles(results.limit(0)).count() == 0
+
+
+def test_layout_failures_have_codes(spark):
+    rows = [
+        (1, 200, None, None, "succeeded"), (2, 200, None, None, "RUNNING"), (3, 202, False, False, "failed"), (4, 200, None, None, None),
+        (5, 429, None, None, None), (6, 500, None, None, None), (7, 404, None, None, None), (8, None, None, None, None),
+        (9, 200, True, True, "succeeded"), (10, 200, None, True, "running"), (11, 302, None, None, "succeeded"),
+    ]
+    log = spark.createDataFrame(rows, "request_id long, http_status int, timed_out boolean, cancelled boolean, operation_status string")
+    got = {r.request_id: (r.mapped_code.removeprefix("LAYOUT_"), r.answer_status) for r in responses.classify_layout_failures(log).collect()}
+    assert got == {
+        3: ("FAILED", 422), 4: ("INVALID_RESPONSE", 502), 5: ("RATE_LIMITED", 503), 6: ("UNAVAILABLE", 503), 7: ("UNAVAILABLE", 502),
+        8: ("UNAVAILABLE", 503), 9: ("TIMEOUT", 503), 10: ("FAILED", 499), 11: ("UNAVAILABLE", 502),
+    }
