@@ -1,8 +1,9 @@
 """Schema catalogs: audits, projections, contracts and batch packing.
 
 A discovered catalog has one schema per document, so it grows with the corpus and
-is joined on its keys like any other table. Only registered definitions, which are
-a handful of rows written in code, are broadcast.
+is joined on its keys like any other table. Such joins ask for a merge: a plan's estimate
+does not know how many rows a generator makes, and would broadcast what is large. Only
+registered definitions, which are a handful of rows written in code, are broadcast.
 """
 
 from __future__ import annotations
@@ -255,7 +256,7 @@ def field_contracts(fields: DataFrame, options: DataFrame) -> DataFrame:
     listed = options.groupBy("schema_id", "field_id").agg(
         F.array_sort(F.collect_list(F.struct("option_ix", "value"))).alias("listed")
     )
-    rows = fields.join(listed, ["schema_id", "field_id"], "left")
+    rows = fields.join(listed.hint("merge"), ["schema_id", "field_id"], "left")
     values = F.transform(F.coalesce("listed", F.array()), lambda o: o["value"])
     return rows.withColumn(
         "contract", _leaf_json(F.col("value_type"), F.col("repeatable"), values)
@@ -286,8 +287,8 @@ def contract_json(schemas: DataFrame, fields: DataFrame, options: DataFrame, col
         "contract", F.concat(F.lit('{"items":'), "row_json", F.lit(',"type":"array"}'))
     )
     of_tables = _object_of(tables, ["schema_id"], "table_id", ["table_ix"], "tables_json")
-    joined = schemas.select("schema_id").join(of_fields, "schema_id", "left").join(
-        of_tables, "schema_id", "left"
+    joined = schemas.select("schema_id").join(of_fields.hint("merge"), "schema_id", "left").join(
+        of_tables.hint("merge"), "schema_id", "left"
     )
     properties = F.concat_ws(
         ",", F.concat(F.lit('"fields":'), "fields_json"), F.concat(F.lit('"tables":'), "tables_json")
