@@ -433,17 +433,17 @@ def audit_template_mapping(fields: DataFrame, template_fields: DataFrame, templa
     ``template_fields`` has ``schema_id, template_id, pdf_field``.
     """
     key = ["schema_id", "template_id"]
-    expected = templates.select(*key).join(fields.select("schema_id", "pdf_field"), "schema_id")
+    expected = templates.select(*key).join(fields.select("schema_id", "pdf_field").hint("merge"), "schema_id")
     actual = template_fields.select(*key, "pdf_field")
 
     def rule(df: DataFrame, name: str, path: Column) -> DataFrame:
         return df.select(*key, path.alias("path"), F.lit(name).alias("rule"))
 
     field = F.col("pdf_field")
-    bare = templates.select(*key).join(actual, key, "left_anti")
+    bare = templates.select(*key).join(actual.hint("merge"), key, "left_anti")
     twice = actual.groupBy(*key, "pdf_field").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    missing = expected.join(actual, [*key, "pdf_field"], "left_anti")
-    extra = actual.join(expected, [*key, "pdf_field"], "left_anti").distinct()
+    missing = expected.join(actual.hint("merge"), [*key, "pdf_field"], "left_anti")
+    extra = actual.join(expected.hint("merge"), [*key, "pdf_field"], "left_anti").distinct()
     return _union([
         rule(bare, "no_fields", F.lit("")), rule(twice, "duplicate", field),
         rule(missing, "missing", field), rule(extra, "unexpected", field),
