@@ -196,8 +196,8 @@ def public_catalog(definitions: DataFrame, fields: DataFrame, templates: DataFra
         ).alias("templates")
     )
     return definitions.select("schema_id", "version", "label", "description").join(
-        shown, "schema_id", "left"
-    ).join(forms, "schema_id", "left")
+        shown.hint("merge"), "schema_id", "left"
+    ).join(forms.hint("merge"), "schema_id", "left")
 
 
 def public_summary(definitions: DataFrame, templates: DataFrame) -> DataFrame:
