@@ -2,19 +2,25 @@
 
 Every row a table ever has gets a slot: its own rows first, added ones behind them. Which slot is at
 a place is answered by a tree of counts over the slots, so an edit costs the logarithm of the rows.
-Only the edits of a table meet in one task; its cells stay in Spark and are matched by slot.
+Only the edits of a table meet in one task, which walks through its sorted tables as a stream; the cells stay in Spark
+and are matched by slot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Executors need no copy of this package: its vectorised functions travel with the plan.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KEY = ["doc_id", "table_id"]
 VALUE = ["v_str", "v_num", "v_bool"]
 
@@ -30,18 +36,26 @@ def typed(rows: DataFrame) -> Column:
 
 
 class PlaceTree:
-    """Counts of present slots, by powers of two, to find the slot at a place and to empty it."""
-
-    def __init__(self, present: np.ndarray) -> None:
-        self.size = len(present)
-        sums = np.concatenate([[0], np.cumsum(present, dtype=np.int64)])
-        at = np.arange(1, self.size + 1)
-        self.counts = [0, *(sums[at] - sums[at - (at & -at)]).tolist()]
-        self.present = int(sums[-1])
-        self.top = 1 << self.size.bit_length() >> 1
+    """Counts of present slots, by powers of two, to find the slot at a place, to empty it and to add one."""
+
+    def __init__(self, rows: int) -> None:
+        at = np.arange(1, rows + 1)
+        self.counts = [0, *(at & -at).tolist()]
+        self.present = self.size = rows
+
+    def add(self) -> int:
+        """A present slot behind the others."""
+        self.size += 1
+        at, count, step = self.size, 1, 1
+        while step < at & -at:
+            count += self.counts[at - step]
+            step <<= 1
+        self.counts.append(count)
+        self.present += 1
+        return at - 1
 
     def slot_at(self, place: int) -> int:
-        at, left, step = 0, place, self.top
+        at, left, step = 0, place, 1 << self.size.bit_length() >> 1
         while step:
             ahead = at + step
             if ahead <= self.size and self.counts[ahead] <= left:
@@ -49,43 +63,48 @@ class PlaceTree:
             step >>= 1
         return at
 
-    def change(self, slot: int, by: int) -> None:
+    def remove(self, slot: int) -> None:
         at = slot + 1
         while at <= self.size:
-            self.counts[at] += by
+            self.counts[at] -= 1
             at += at & -at
-        self.present += by
+        self.present -= 1
+
+
+def _slot(tree: PlaceTree, op: str, place: int | None) -> int:
+    """The slot an edit touches, which it also adds or empties; -1 where there is no row at its place."""
+    if op == "add_row":
+        return tree.add()
+    if place is None or not 0 <= place < tree.present:
+        return -1
+    slot = tree.slot_at(place)
+    if op == "remove_row":
+        tree.remove(slot)
+    return slot
 
 
 def replay(ops: list[str], places: list[int | None], rows: int) -> list[int]:
     """The slot each edit touches, in order; -1 where there is no row at its place."""
-    adds = ops.count("add_row")
-    tree, last, slots = PlaceTree(np.arange(rows + adds) < rows), rows, []
-    for op, place in zip(ops, places):
-        slot = -1
-        if op == "add_row":
-            slot, last = last, last + 1
-            tree.change(slot, 1)
-        elif place is not None and 0 <= place < tree.present:
-            slot = tree.slot_at(place)
-            if op == "remove_row":
-                tree.change(slot, -1)
-        slots.append(slot)
-    return slots
-
-
-def _replayed() -> Callable[[pa.Table], pa.Table]:
-    order = [(name, "ascending") for name in ("seq", "op", "row_ix", "column_id", *VALUE)]
-
-    def of_table(edits: pa.Table) -> pa.Table:
-        edits = edits.take(pc.sort_indices(edits, sort_keys=order, null_placement="at_start"))
-        slots = replay(edits["op"].to_pylist(), edits["row_ix"].to_pylist(), edits["rows"][0].as_py())
+    tree = PlaceTree(rows)
+    return [_slot(tree, op, place) for op, place in zip(ops, places)]
+
+
+def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slots and turns of sorted edits, table by table; a row without ``op`` opens a table and tells its rows."""
+    table, tree, turn = None, PlaceTree(0), 0
+    for edits in batches:
+        slots, turns = [], []
+        keys = zip(*(edits[name].to_pylist() for name in KEY))
+        for key, op, place in zip(keys, edits["op"].to_pylist(), edits["row_ix"].to_pylist()):
+            if key != table:
+                table, tree, turn = key, PlaceTree(place if op is None else 0), 0
+            slots.append(-1 if op is None else _slot(tree, op, place))
+            turns.append(turn)
+            turn += op is not None
         out = edits.select([*KEY, "op", "column_id", *VALUE])
         out = out.append_column("slot", pa.array(slots, pa.int64()))
-        out = out.append_column("turn", pa.array(np.arange(len(slots)), pa.int64()))
-        return out.filter(pc.greater_equal(out["slot"], 0))
-
-    return of_table
+        out = out.append_column("turn", pa.array(turns, pa.int64()))
+        yield out.filter(pc.greater_equal(out["slot"], 0))
 
 
 def apply_table_edits(cells: DataFrame, edits: DataFrame, columns: DataFrame) -> DataFrame:
@@ -104,16 +123,19 @@ def apply_table_edits(cells: DataFrame, edits: DataFrame, columns: DataFrame) ->
         *KEY, rank.alias("slot"), "column_id", *value, F.lit(-1).cast("bigint").alias("turn"), F.lit(False).alias("gone")
     )
     unnumbered = F.max(F.col("row_ix").isNull().cast("int"))
-    rows = cells.groupBy(*KEY).agg((F.count_distinct("row_ix") + unnumbered).alias("counted"))
+    rows = cells.groupBy(*KEY).agg((F.count_distinct("row_ix") + unnumbered).alias("row_ix"))
     steps = edits.filter(F.col("op").isin("set_cell", "add_row", "remove_row")).select(
         "doc_id", F.col("target_id").alias("table_id"), "seq", "op", F.col("row_ix").cast("bigint").alias("row_ix"),
         "column_id", typed(edits).alias("v"),
     ).select(*KEY, "seq", "op", "row_ix", "column_id", *value)
-    same = [F.col(f"e.{name}").eqNullSafe(F.col(f"n.{name}")) for name in KEY]
-    sized = steps.alias("e").join(rows.alias("n"), same, "left").select("e.*", F.coalesce("n.counted", F.lit(0)).alias("rows"))
+    # The rows a table has come first, then its edits; NaN before other numbers.
+    number = [F.col("v_num").isNotNull(), ~F.isnan("v_num"), "v_num"]
+    sized = steps.unionByName(rows, allowMissingColumns=True).repartition(*KEY).sortWithinPartitions(
+        *KEY, F.col("op").isNotNull(), "seq", "op", "row_ix", "column_id", "v_str", *number, "v_bool"
+    )
     kinds = {field.name: field.dataType.simpleString() for field in sized.schema.fields}
     schema = ", ".join(f"{name} {kinds[name]}" for name in (*KEY, "op", "column_id", *VALUE)) + ", slot long, turn long"
-    touched = sized.groupBy(*KEY).applyInArrow(_replayed(), schema)
+    touched = sized.mapInArrow(_replayed, schema)
     blank = columns.groupBy(*KEY).agg(F.collect_set("column_id").alias("blank"))
     same = [F.col(f"t.{name}").eqNullSafe(F.col(f"b.{name}")) for name in KEY]
     adds, sets = F.col("op") == "add_row", F.col("op") == "set_cell"

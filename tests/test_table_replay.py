@@ -3,6 +3,9 @@
 import random
 import time
 
+from pyspark import cloudpickle
+
+from groundline.operators import table_replay
 from groundline.operators.table_replay import apply_table_edits, replay
 
 CELLS = "doc_id int, table_id string, row_ix int, column_id string, v_str string"
@@ -72,3 +75,24 @@ def test_a_hundred_thousand_edits_of_one_table():
         else:
             want.append(-1)
     assert slots == want
+
+
+def test_many_small_tables_share_a_task_without_a_group_each(spark):
+    """Tables are walked as a stream of sorted rows that crosses batches; the function needs no copy of the package."""
+    tables = 3_000
+    cells = spark.range(tables).selectExpr("cast(id as int) doc_id", "'t' table_id", "explode(array(0, 1)) row_ix", "'a' column_id", "'x' v_str")
+    edits = spark.range(tables).selectExpr("cast(id as int) doc_id", "'t' target_id", "explode(array(1L, 2L, 3L)) seq").selectExpr(
+        "*", "element_at(array('add_row', 'remove_row', 'set_cell'), cast(seq as int)) op",
+        "if(seq = 2, doc_id % 3, 1) row_ix", "'a' column_id", "'e' v_str",
+    )
+    columns = spark.range(tables).selectExpr("cast(id as int) doc_id", "'t' table_id", "'a' column_id")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = apply_table_edits(cells, edits, columns)
+        assert "FlatMapGroupsInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+        rows = {(r.doc_id, r.row_ix): r.v_str for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert rows == {(doc, place): ("x", "e")[place] for doc in range(tables) for place in (0, 1)}
+    assert table_replay.__name__ in cloudpickle.list_registry_pickle_by_value()
