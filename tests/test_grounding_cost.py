@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from groundline.functions.dates import search_spellings
 from groundline.functions.text import EMAIL_SPAN
-from groundline.operators.ground_fixed import ground_fields
+from groundline.operators.ground_fixed import ground_fields, grounding_warnings
 
 FIELDS = "schema_id string, ordinal int, field_key string, kind string, required boolean"
 
@@ -34,3 +34,18 @@ def test_addresses_are_found_without_giving_back_characters(spark):
     text = spark.createDataFrame([("x" * 200_000 + " desk1 @ north . example . com, a.b@c.d.e",)], "t string")
     found = text.select(F.regexp_extract_all("t", F.lit(EMAIL_SPAN), 0).alias("m")).first().m
     assert found == ["desk1 @ north . example . com", "a.b@c.d.e"]
+
+
+def test_warnings_make_the_reviews_once(spark):
+    rows = [
+        (1, "s", 2, "b", "missing", True, False, 0.0), (1, "s", 1, "a", "missing", True, False, 0.0),
+        (1, "r", 1, "c", "needs_review", True, True, 0.25), (2, "s", 1, "a", "verified", True, True, 1.0),
+    ]
+    reviews = spark.createDataFrame(
+        rows, "doc_id int, schema_id string, ordinal int, field_key string, status string, required boolean, present boolean, confidence double"
+    )
+    warnings = grounding_warnings(reviews.filter("ordinal > 0"))
+    assert warnings._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
+    got = {(r.doc_id, r.seq, r.code): list(r.field_keys) for r in warnings.collect()}
+    assert got[1, 1, "REQUIRED_FIELDS_MISSING"] == ["a", "b"] and all(doc == 1 for doc, _, _ in got)
+    assert {tuple(keys) for (_, _, code), keys in got.items() if code == "FIELDS_REQUIRE_REVIEW"} == {("c",)}
