@@ -188,14 +188,13 @@ def validate_discovered(
     # --- fields
     allowed = _option_sets(options, "field_id")
     catalog = fields.select("schema_id", "field_id", "value_type", "repeatable", "required")
-    asked = schemas.join(catalog, "schema_id")
+    # Options are a matter of the schema; beside the values they would be joined once more for each document.
+    asked = schemas.join(catalog.join(allowed, ["schema_id", "field_id"], "left"), "schema_id")
     given = field_values.select(
         "doc_id", "schema_id", "field_id", "item_ix", "v_str", "v_num", "v_bool",
         F.lit(True).alias("given"),
     )
-    rows = asked.join(given, ["doc_id", "schema_id", "field_id"], "full").join(
-        allowed, ["schema_id", "field_id"], "left"
-    )
+    rows = asked.join(given, ["doc_id", "schema_id", "field_id"], "full")
     is_list = F.col("item_ix").isNotNull()
     required = F.col("required") if submission else F.lit(False)
     issue = (
@@ -213,8 +212,8 @@ def validate_discovered(
     )
     field_issues = rows.select("doc_id", path.alias("path"), issue.alias("code"))
     long_lists = (
-        field_values.groupBy("doc_id", "schema_id", "field_id")
-        .agg(F.count_if(F.col("item_ix") >= 0).alias("n"))
+        field_values.filter(F.col("item_ix") >= 0).groupBy("doc_id", "schema_id", "field_id")
+        .agg(F.count("*").alias("n"))
         .filter(F.col("n") > MAX_REPEATS)
         .join(catalog.filter("repeatable"), ["schema_id", "field_id"], "left_semi")
         .select("doc_id", F.concat(F.lit("fields."), "field_id").alias("path"), F.lit("too_big").alias("code"))
