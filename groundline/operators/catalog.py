@@ -175,7 +175,7 @@ def audit_discovered(
             child("empty_table", table, table),
             child("no_fields_or_columns", whole),
         ),
-    ])
+    ], details=True)
 
 
 def public_catalog(definitions: DataFrame, fields: DataFrame, templates: DataFrame) -> DataFrame:

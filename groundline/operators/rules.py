@@ -14,13 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REPEAT_AT_ONCE = 10_000
-BREACH, COUNTED, PARENT, NEEDS, BOUNDED, BARS, CHILD = (
-    "breach", "counted", "parent", "needs", "bounded", "bars", "child",
-)
+# Numbers, as an aggregation of strings is sorted instead of hashed.
+BREACH, COUNTED, PARENT, NEEDS, BOUNDED, BARS, CHILD = range(7)
 
 
 def _claim(
-    part: str, rule: str, path: Column, keys: tuple[Column, ...], limit: int = 0, detail: Column | None = None
+    part: int, rule: str, path: Column, keys: tuple[Column, ...], limit: int = 0, detail: Column | None = None
 ) -> Column:
     key = F.array(*[k.cast("string") for k in keys]).cast("array<string>")
     return F.struct(
@@ -85,8 +84,11 @@ def repeat_rows(df: DataFrame, times: Column) -> DataFrame:
     return cut.select(*names, F.explode(F.array_repeat(F.lit(0), left)).alias("_one")).select(*names)
 
 
-def settle(parts: list[DataFrame]) -> DataFrame:
-    """The reports that follow from all claims: ``schema_id, path, rule``."""
+def settle(parts: list[DataFrame], details: bool = False) -> DataFrame:
+    """The reports that follow from all claims: ``schema_id, path, rule``.
+
+    ``details`` asks for rules of :func:`bars`; telling their details apart takes a second shuffle of all claims.
+    """
     part, children, rows = F.col("part"), F.col("children"), F.col("rows")
     of = lambda name: F.count_if(part == name)
     counted = (
@@ -97,7 +99,7 @@ def settle(parts: list[DataFrame]) -> DataFrame:
             of(CHILD).alias("children"),
             F.count_if(part != CHILD).alias("rows"),
             F.max("limit").alias("limit"),
-            F.count_distinct("detail").alias("details"),
+            *([F.count_distinct("detail").alias("details")] if details else []),
         )
     )
     asks = F.col("asks")
@@ -107,6 +109,6 @@ def settle(parts: list[DataFrame]) -> DataFrame:
         .when((asks == PARENT) & (children == 0), rows)
         .when((asks == NEEDS) & (children == 0), F.lit(1))
         .when((asks == BOUNDED) & (children > F.col("limit")), F.lit(1))
-        .when((asks == BARS) & (children > 0), F.col("details"))
+        .when((asks == BARS) & (children > 0), F.col("details") if details else F.raise_error("bars needs details").cast("bigint"))
     )
     return repeat_rows(counted, times).select("schema_id", "path", "rule")

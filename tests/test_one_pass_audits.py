@@ -99,3 +99,11 @@ def test_empty_tables_break_no_rule(spark):
     tables = Tables(spark, DATA)
     for audit, names in AUDITS.items():
         assert audit(*[getattr(tables, name).limit(0) for name in names]).count() == 0
+
+
+def test_claims_are_hashed_and_shuffled_once(spark):
+    tables = Tables(spark, DATA)
+    plan = audit_registered(*[getattr(tables, name) for name in AUDITS[audit_registered]])._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+    plan = audit_discovered(*[getattr(tables, name) for name in AUDITS[audit_discovered]])._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan
