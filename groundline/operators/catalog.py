@@ -407,14 +407,14 @@ def schema_fingerprint(
     head = listed(schemas, ["document_type", "document_type_label", "language", "title"])
     rows = (
         schemas.select("schema_id", head.alias("head"))
-        .join(digest(fields, ["section_ix", "ordinal"], field_parts, "f"), "schema_id", "left")
-        .join(digest(columns, ["table_ix", "ordinal"], column_parts, "c"), "schema_id", "left")
+        .join(digest(fields, ["section_ix", "ordinal"], field_parts, "f").hint("merge"), "schema_id", "left")
+        .join(digest(columns, ["table_ix", "ordinal"], column_parts, "c").hint("merge"), "schema_id", "left")
     )
     if options is None:
         rows = rows.withColumn("o", F.lit(""))
     else:
         of_options = digest(options, ["field_id", "option_ix"], ["field_id", "value", "label"], "o")
-        rows = rows.join(of_options, "schema_id", "left")
+        rows = rows.join(of_options.hint("merge"), "schema_id", "left")
     # An empty part is told from a missing line: each part follows a line of its own.
     text = F.concat_ws("\n", "head", *(F.concat(F.lit(f"{p}:\n"), F.coalesce(p, F.lit(""))) for p in "fco"))
     return rows.select("schema_id", F.sha2(text, 256).alias("fingerprint"))

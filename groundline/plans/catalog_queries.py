@@ -210,6 +210,7 @@ o AS (SELECT schema_id, string_agg(CAST(to_json([field_id, value, label]) AS VAR
 SELECT schema_id, sha256(concat_ws(chr(10), CAST(to_json([document_type, 'Order notice', language, title]) AS VARCHAR), 'f:', f, 'c:', c, 'o:', o)) AS fingerprint
 FROM notice_docs JOIN f USING (schema_id) JOIN c USING (schema_id) JOIN o USING (schema_id)""")
 def schema_fingerprint(t: Tables) -> DataFrame:
+    t = t.by_order()
     return c.schema_fingerprint(
         t.notice_docs.withColumn("document_type_label", F.lit("Order notice")),
         t.notice_fields.withColumn("section_label", F.concat(F.lit("Part "), "section_id")),
