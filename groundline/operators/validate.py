@@ -19,6 +19,8 @@ MAX_REPEATS = 100
 MAX_ROWS = 500
 MAX_ISSUES = 8
 MAX_PATH = 160
+# Groups that a document's issues are first cut in.
+ISSUE_GROUPS = 16
 
 
 def _finite(number: Column) -> Column:
@@ -262,28 +264,30 @@ def merge_batches(values: DataFrame, owner: str = "field_id") -> DataFrame:
 def violation_summary(violations: DataFrame) -> DataFrame:
     """Per document: how many issues, the first few codes and safe paths, the first field.
 
-    Issues are ordered by place, then path. Only the first few of each document are
-    collected; they are cut by rank before the lists are built.
+    Issues are ordered by place, then path, and read once: counted and cut by rank in a few groups
+    of a document, so that one with many issues is spread over tasks, then once more over the groups.
     """
-    segments = F.split("path", r"\.")
-    safe = F.col("path").rlike(r"^[A-Za-z0-9_.-]+\z") & ~F.exists(
-        segments, lambda s: (F.length(s) == 0) | (F.length(s) > 80)
+    issue = F.struct("place", "path", "code")
+    order = Window.partitionBy("doc_id", "issue_group").orderBy("place", "path", "code")
+    grouped = violations.withColumn("issue_group", F.pmod(F.xxhash64("path", "code"), F.lit(ISSUE_GROUPS)))
+    parts = grouped.withColumn("rank", F.row_number().over(order)).groupBy("doc_id", "issue_group").agg(
+        F.count("*").alias("n"), F.collect_list(F.when(F.col("rank") <= MAX_ISSUES, issue)).alias("issues")
     )
-    order = Window.partitionBy("doc_id").orderBy("place", "path", "code")
-    counts = violations.groupBy("doc_id").agg(F.count("*").alias("issue_count"))
-    first = violations.withColumn("rank", F.row_number().over(order)).filter(
-        F.col("rank") <= MAX_ISSUES
+    first = parts.groupBy("doc_id").agg(
+        F.sum("n").alias("issue_count"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("issues"))), 1, MAX_ISSUES).alias("first"),
     )
 
-    def listed(value: Column) -> Column:
-        pairs = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct("rank", value.alias("v")))))
-        return F.transform(pairs, lambda pair: pair["v"])
+    def safe(path: Column) -> Column:
+        return path.rlike(r"^[A-Za-z0-9_.-]+\z") & ~F.exists(
+            F.split(path, r"\."), lambda s: (F.length(s) == 0) | (F.length(s) > 80)
+        )
 
-    shown = F.when(safe, F.substring("path", 1, MAX_PATH))
-    lists = first.groupBy("doc_id").agg(
-        F.array_join(listed(F.col("code")), ",").alias("codes"),
-        F.array_join(listed(shown), "|").alias("paths"),
-        F.min_by("path", "rank").alias("first_field"),
-        F.min_by("code", "rank").alias("first_reason"),
+    shown = F.transform("first", lambda i: F.when(safe(i["path"]), F.substring(i["path"], 1, MAX_PATH)))
+    return first.select(
+        "doc_id", "issue_count",
+        F.array_join(F.col("first.code"), ",").alias("codes"),
+        F.array_join(shown, "|").alias("paths"),
+        F.col("first")[0]["path"].alias("first_field"),
+        F.col("first")[0]["code"].alias("first_reason"),
     )
-    return counts.join(lists, "doc_id")

@@ -1,6 +1,6 @@
 """Checks of discovered values: options meet their fields before documents do, only list items are counted."""
 
-from groundline.operators.validate import validate_discovered
+from groundline.operators.validate import validate_discovered, violation_summary
 
 
 def test_options_are_not_joined_beside_the_values(spark):
@@ -24,3 +24,16 @@ def test_options_are_not_joined_beside_the_values(spark):
     assert {tuple(r) for r in broken.collect()} == {
         (1, "fields.many", "too_small"), (2, "fields.pick", "invalid_value"), (2, "fields.other", "unrecognized_keys"), (2, "fields.many", "too_big")
     }
+
+
+def test_digest_reads_its_issues_once(spark):
+    rows = [(1, f"f{i:04d}", i % 40, "custom") for i in range(300)] + [(2, "a b", 1, "x"), (2, "c", 2, "y"), (2, "c", 2, "y")]
+    issues = spark.createDataFrame(rows, "doc_id int, path string, place int, code string")
+    digest = violation_summary(issues)
+    plan = digest._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan ") == 1 and "Join" not in plan
+    first = [p for _, p in sorted((place, path) for d, path, place, _ in rows if d == 1)][:8]
+    assert {r.doc_id: tuple(r)[1:] for r in digest.collect()} == {
+        1: (300, ",".join(["custom"] * 8), "|".join(first), first[0], "custom"),
+        2: (3, "x,y,y", "c|c", "a b", "x"),
+    }
