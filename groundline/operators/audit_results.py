@@ -31,17 +31,19 @@ def _roles(*names: str) -> Column:
     return F.explode(F.array(*[F.lit(name) for name in names])).alias("role")
 
 
-def _asked_and_stray(documents: DataFrame, marks: DataFrame, items: DataFrame) -> DataFrame:
+def _asked_and_stray(documents: DataFrame, marks: DataFrame, items: DataFrame, strays_only: bool = False) -> DataFrame:
     """Items of each document's schema (role ``item``) and marks its schema does not know (``stray``).
 
     ``marks`` has ``doc_id, role, mark``: those of role ``stray`` are looked up in the schema, those of
     other roles only meet the documents (``met``) or, without one, are passed on. ``items`` has
     ``schema_id, id, listed, required``: all are known, the listed ones are asked for. A document is
-    read once, as one row for its items and one for each role of marks.
+    read once, as one row for its items and one for each role of marks. With ``strays_only``, all marks are
+    of role ``stray``: those without a document say nothing, and rows stay where their document is.
     """
-    roles = documents.select("doc_id", "schema_id", "document_type", _roles("item", "stray", "met"))
+    names = ("item", "stray") if strays_only else ("item", "stray", "met")
+    roles = documents.select("doc_id", "schema_id", "document_type", _roles(*names))
     rows = roles.withColumn("known_doc", F.lit(True)).join(
-        marks.withColumn("marked", F.lit(True)), ["doc_id", "role"], "full"
+        marks.withColumn("marked", F.lit(True)), ["doc_id", "role"], "left" if strays_only else "full"
     )
     is_item = F.col("role") == "item"
     rows = rows.filter(is_item | F.col("marked"))
@@ -80,54 +82,85 @@ def audit_extraction_result(
     Returns ``doc_id, rule, path``, one row per violation; every input is read once. Repeated values or
     reviews count as often as they meet. A document without stored meta or fields has no ``meta_mismatch``.
     """
-    status, match, role = F.col("status"), F.col("match_type"), F.col("role")
-    key = ["doc_id", "schema_id", "field_key", "role"]
+    status, role = F.col("status"), F.col("role")
+    key = ["doc_id", "schema_id", "field_key"]
     rows = _asked_and_stray(
         documents.select("doc_id", "schema_id", F.lit(None).cast("string").alias("document_type")),
         warning_keys.select("doc_id", F.lit("stray").alias("role"), F.col("field_key").alias("mark")),
         fields.select("schema_id", F.col("field_key").alias("id"), F.lit(True).alias("listed"), "required"),
-    ).select(
-        "doc_id", "schema_id", "role", "required", F.lit(True).alias("asked"),
-        F.when(role == "item", F.col("id")).otherwise(F.col("mark")).alias("field_key"),
-    )
-    found = values.select(
-        *key[:3], F.lit("item").alias("role"), (F.col("v_str").isNotNull() | F.col("v_num").isNotNull()).alias("filled")
+        strays_only=True,
     )
     legal = F.lit(False)
     for s, m, c in LEGAL_REVIEWS:
-        legal = legal | ((status == s) & (match == m) & (F.col("confidence") == c))
-    wrong = F.when(~F.coalesce(legal, F.lit(False)), F.lit("illegal"))
-    stored = reviews.select(
-        *key[:3], "status", "confidence", F.explode(F.array_compact(F.array(F.lit("item"), wrong))).alias("role")
+        legal = legal | ((status == s) & (F.col("match_type") == m) & (F.col("confidence") == c))
+    known_status = F.when(status.isin("verified", "needs_review", "missing"), status).when(status.isNotNull(), "other")
+    needed = (role == "item") & F.coalesce("required", F.lit(False))
+    filled = F.col("v_str").isNotNull() | F.col("v_num").isNotNull()
+
+    def stated(df: DataFrame, field_key: Column, part: Column, score: Column | None = None, illegal: Column | None = None) -> DataFrame:
+        return df.select(
+            "doc_id", "schema_id", field_key.alias("field_key"), part.alias("part"),
+            (F.lit(None) if score is None else score).cast("bigint").alias("score"),
+            (F.lit(False) if illegal is None else illegal).alias("illegal"),
+        )
+
+    parts = (
+        stated(
+            rows, F.when(role == "item", F.col("id")).otherwise(F.col("mark")),
+            F.when(needed, "required").when(role == "item", "optional").otherwise("stray"),
+        )
+        .unionByName(stated(values, F.col("field_key"), F.when(filled, "filled").otherwise("empty")))
+        .unionByName(stated(
+            reviews, F.col("field_key"), F.coalesce(known_status, F.lit("unstated")),
+            F.round(F.col("confidence") * 100), ~F.coalesce(legal, F.lit(False)),
+        ))
+    )
+    # How many rows of each part share a key; what their join would count follows by multiplication.
+    number = lambda *names: F.count_if(F.col("part").isin(*names))
+    counted = parts.groupBy(*key).agg(
+        number("required").alias("needed"), number("required", "optional").alias("asked"), number("stray").alias("strays"),
+        number("filled").alias("filled"), number("empty").alias("empty"),
+        *[number(name).alias(name) for name in ("verified", "needs_review", "missing", "other", "unstated")],
+        F.count_if("illegal").alias("illegal"), F.coalesce(F.sum("score"), F.lit(0)).alias("score"),
     )
-    rows = rows.join(found, key, "left").join(stored, key, "full")
-    present, path = F.coalesce("filled", F.lit(False)), F.col("field_key")
-    item = (role == "item") & F.col("asked")
+    # Rows with a null in their key meet nothing.
+    whole = F.col("doc_id").isNotNull() & F.col("schema_id").isNotNull() & F.col("field_key").isNotNull()
+    sides = ("filled", "empty", "verified", "needs_review", "missing", "other", "unstated", "score")
+    counted = counted.withColumns({name: F.when(whole, F.col(name)).otherwise(0) for name in sides})
+    counted = counted.filter((F.col("asked") > 0) | (F.col("strays") > 0) | (F.col("illegal") > 0))
+    asked, present = F.col("asked"), F.col("filled")
+    stated_reviews = F.col("verified") + F.col("needs_review") + F.col("missing") + F.col("other")
+    given = F.greatest(present + F.col("empty"), F.lit(1))
+    absent = given - present
+    unreviewed = F.when(stated_reviews + F.col("unstated") == 0, F.lit(1)).otherwise(F.col("unstated"))
+    sums = {
+        "verified_fields": asked * given * F.col("verified"),
+        "needs_review_fields": asked * given * F.col("needs_review"),
+        "missing_fields": asked * given * F.col("missing"),
+        "required_missing_fields": F.col("needed") * given * F.col("missing"),
+        "included": stated_reviews * (F.col("needed") * given + (asked - F.col("needed")) * present),
+        "score": asked * present * F.col("score"),
+    }
+
+    def finding(rule: str, times: Column) -> Column:
+        return F.when(times > 0, F.struct(
+            F.lit(rule).alias("rule"), F.col("field_key").cast("string").alias("path"), times.alias("n")
+        ))
+
     findings = F.array_compact(F.array(
-        _finding(role == "illegal", "review_state", path),
-        _finding(role == "stray", "warning_key", path),
-        _finding(item & status.isNull(), "review_absent", path),
-        _finding(item & ~present & (status != "missing"), "null_not_missing", path),
-        _finding(item & present & (status == "missing"), "present_but_missing", path),
-        _finding(item, "meta_mismatch", F.lit(None)),
+        finding("review_state", F.col("illegal")),
+        finding("warning_key", F.col("strays")),
+        finding("review_absent", asked * given * unreviewed),
+        finding("null_not_missing", asked * absent * (stated_reviews - F.col("missing"))),
+        finding("present_but_missing", asked * present * F.col("missing")),
+        F.when(asked > 0, F.struct(
+            F.lit("meta_mismatch").alias("rule"), F.lit(None).cast("string").alias("path"), F.lit(1).cast("bigint").alias("n")
+        )),
     ))
-    score = F.sum(F.when(present, F.round(F.col("confidence") * 100).cast("bigint")))
-    included = F.count_if(status.isNotNull() & (present | F.col("required")))
     told = (
-        rows.select(
-            "doc_id", "status", "confidence", "required", present.alias("filled"), F.inline(findings)
-        )
-        .withColumn("required", F.coalesce("required", F.lit(False)))
+        counted.select("doc_id", *[value.alias(name) for name, value in sums.items()], F.inline(findings))
         .groupBy("doc_id", "rule", "path")
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if(status == "verified").alias("verified_fields"),
-            F.count_if(status == "needs_review").alias("needs_review_fields"),
-            F.count_if(status == "missing").alias("missing_fields"),
-            F.count_if((status == "missing") & F.col("required")).alias("required_missing_fields"),
-            included.alias("included"),
-            F.coalesce(score, F.lit(0)).alias("score"),
-        )
+        .agg(F.sum("n").alias("n"), *[F.sum(name).alias(name) for name in sums])
     )
     average = round_two(F.col("score") / 100 / F.nullif(F.col("included"), F.lit(0)))
     told = told.withColumn("confidence", F.when(F.col("included") == 0, 0.0).otherwise(average))

@@ -325,6 +325,7 @@ UNION ALL SELECT doc_id, 'meta_mismatch', 'review_required' FROM m WHERE review_
 UNION ALL SELECT w.doc_id, 'warning_key', w.field_key FROM claimed_warning_keys w JOIN order_docs d USING (doc_id)
   WHERE NOT EXISTS (SELECT 1 FROM order_schema s WHERE s.schema_id = d.schema_id AND s.field_key = w.field_key)""")
 def extraction_result_audit(t: Tables) -> DataFrame:
+    t = t.by_order("order_docs", "order_schema", "order_values", hashed="order_values")
     return audit_extraction_result(
         t.order_docs, t.order_schema, t.order_values, t.claimed_reviews, t.claimed_meta, t.claimed_warning_keys
     )

@@ -17,3 +17,14 @@ def test_fingerprints_are_made_where_orders_are(spark, monkeypatch):
     assert plan.count("SortMergeJoin") == 3
     assert f", {-(-orders // 1_000)}), REPARTITION_BY_NUM" in plan
     assert prints.count() == orders
+
+
+def test_results_are_audited_where_orders_are(spark, monkeypatch):
+    monkeypatch.setattr(inputs, "ORDERS_PER_TASK", 1_000)
+    audited = q.extraction_result_audit(Tables(spark, DATA))
+    plan = audited._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") > 0
+    shared = Tables(spark, DATA)
+    names = ("order_docs", "order_schema", "order_values", "claimed_reviews", "claimed_meta", "claimed_warning_keys")
+    elsewhere = q.audit_extraction_result(*[getattr(shared, name) for name in names])
+    assert audited.count() > 0 and audited.exceptAll(elsewhere).isEmpty() and elsewhere.exceptAll(audited).isEmpty()
