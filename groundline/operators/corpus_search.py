@@ -43,12 +43,20 @@ def _tokens(search: Column) -> Column:
     return F.split(search, " ")
 
 
+def _each(sources: DataFrame, items: Column, name: str, *others: str) -> DataFrame:
+    """A row per item of a list made of a text; a join on the item drops those without one.
+
+    Of a plain ``explode`` Spark infers a filter on the list, which would make it, and the forms of the text, again.
+    """
+    return sources.select(*others, F.explode_outer(items).alias(name))
+
+
 def token_frequencies(forms: DataFrame, sources: DataFrame) -> DataFrame:
     """In how many documents each token of the values occurs."""
     wanted = forms.select(F.explode(_tokens(F.col("v_search"))).alias("token")).distinct()
     if fits_broadcast(wanted):
         wanted = F.broadcast(wanted)
-    seen = sources.select(F.explode(F.array_distinct(_tokens(F.col("src_search")))).alias("token"))
+    seen = _each(sources, F.array_distinct(_tokens(F.col("src_search"))), "token")
     return seen.join(wanted, "token").groupBy("token").agg(F.count("*").alias("df"))
 
 
@@ -114,10 +122,10 @@ def candidate_pairs(forms: DataFrame, keys: DataFrame, sources: DataFrame) -> Da
     carried = F.length("v_minimal") + F.length("v_search") + F.length(F.array_join("keys", " "))
     if fits_broadcast(keys) and bytes_fit_broadcast(asked, carried):
         held = sources.withColumn("held", _source_keys(pieces))
-        met = held.withColumn("key", F.explode("held")).join(F.broadcast(asked), "key")
-        first = F.array_min(F.array_intersect("keys", "held"))
+        met = _each(held, F.col("held"), "key", *held.columns).join(F.broadcast(asked), "key")
+        first = F.when(F.size("keys") == 1, F.col("key")).otherwise(F.array_min(F.array_intersect("keys", "held")))
         return met.filter(F.col("key") == first).drop("key", "keys", "held")
-    posted = sources.select("doc_id", F.explode(_source_keys(pieces)).alias("key"))
+    posted = _each(sources, _source_keys(pieces), "key", "doc_id")
     pairs = posted.join(keys, "key").select("doc_id", "value_id").distinct()
     return pairs.join(forms, "value_id").join(sources, "doc_id")
 
