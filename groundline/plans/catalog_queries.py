@@ -346,6 +346,7 @@ UNION ALL SELECT doc_id, 'warning_id', id FROM claimed_warning_ids WHERE id = 'g
 UNION ALL SELECT doc_id, 'review_flag', 'review_required' FROM claimed_results r WHERE NOT review_required AND
   (confidence < 0.75 OR EXISTS (SELECT 1 FROM st WHERE st.doc_id = r.doc_id AND status <> 'verified'))""")
 def discovered_result_audit(t: Tables) -> DataFrame:
+    t = t.by_order("notice_fields", "notice_columns", lines=True)
     return audit_discovered_result(
         t.notice_docs, t.notice_fields, t.notice_columns, t.notice_field_values, t.notice_cell_values,
         t.claimed_value_reviews, t.claimed_table_reviews, t.claimed_results, t.claimed_warning_ids,
