@@ -38,12 +38,14 @@ def _asked_and_stray(documents: DataFrame, marks: DataFrame, items: DataFrame, s
     other roles only meet the documents (``met``) or, without one, are passed on. ``items`` has
     ``schema_id, id, listed, required``: all are known, the listed ones are asked for. A document is
     read once, as one row for its items and one for each role of marks. With ``strays_only``, all marks are
-    of role ``stray``: those without a document say nothing, and rows stay where their document is.
+    of role ``stray``: those without a document say nothing, and rows stay where their document is; the items
+    are a registered catalog then, and of discovered schemas, one a document, otherwise.
     """
     names = ("item", "stray") if strays_only else ("item", "stray", "met")
     roles = documents.select("doc_id", "schema_id", "document_type", _roles(*names))
+    # Rows generated from an order look as small as the order; without the hint they are sent whole through the driver.
     rows = roles.withColumn("known_doc", F.lit(True)).join(
-        marks.withColumn("marked", F.lit(True)), ["doc_id", "role"], "left" if strays_only else "full"
+        marks.withColumn("marked", F.lit(True)).hint("merge"), ["doc_id", "role"], "left" if strays_only else "full"
     )
     is_item = F.col("role") == "item"
     rows = rows.filter(is_item | F.col("marked"))
@@ -56,6 +58,7 @@ def _asked_and_stray(documents: DataFrame, marks: DataFrame, items: DataFrame, s
         ))).alias("at"),
         "id", "required",
     ).select("schema_id", "at.role", "at.probe", "id", "required", F.lit(True).alias("known"))
+    known = known if strays_only else known.hint("merge")
     rows = rows.withColumn("probe", probe).join(known, ["schema_id", "role", "probe"], "left")
     kept = (
         F.when(is_item, F.col("known"))
