@@ -214,7 +214,8 @@ def export_reviewed(
     a ``row_ix`` of -1 for an empty table. Lists are as long as a contract lets one document be.
     Texts are built before they are gathered: items to fields, cells to rows, rows to tables.
     """
-    valid = documents.join(violations.select("doc_id"), "doc_id", "left_anti")
+    # Issues and texts look as small as what they are made of; without the hints they are sent whole through the driver.
+    valid = documents.join(violations.select("doc_id").hint("merge"), "doc_id", "left_anti")
     listed = F.max("item_ix").isNotNull()
     fields = (
         field_values.withColumn("json", _json_scalar())
@@ -233,7 +234,7 @@ def export_reviewed(
         .agg(_json_object("table_id", "json").alias("tables"))
     )
     nothing = F.lit("{}")
-    return valid.join(fields, "doc_id", "left").join(tables, "doc_id", "left").select(
+    return valid.join(fields.hint("merge"), "doc_id", "left").join(tables.hint("merge"), "doc_id", "left").select(
         "doc_id",
         F.concat(
             F.lit('{"documentType":"'), "document_type", F.lit(f'","schemaVersion":{schema_version},"values":{{"fields":'),

@@ -191,7 +191,9 @@ def validate_discovered(
     allowed = _option_sets(options, "field_id")
     catalog = fields.select("schema_id", "field_id", "value_type", "repeatable", "required")
     # Options are a matter of the schema; beside the values they would be joined once more for each document.
-    asked = schemas.join(catalog.join(allowed, ["schema_id", "field_id"], "left"), "schema_id")
+    # Schemas grow with the documents and look as small as what they are made of; without the hints they are sent whole through the driver.
+    catalog_options = catalog.join(allowed.hint("merge"), ["schema_id", "field_id"], "left")
+    asked = schemas.join(catalog_options.hint("merge"), "schema_id")
     given = field_values.select(
         "doc_id", "schema_id", "field_id", "item_ix", "v_str", "v_num", "v_bool",
         F.lit(True).alias("given"),
@@ -217,13 +219,13 @@ def validate_discovered(
         field_values.filter(F.col("item_ix") >= 0).groupBy("doc_id", "schema_id", "field_id")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") > MAX_REPEATS)
-        .join(catalog.filter("repeatable"), ["schema_id", "field_id"], "left_semi")
+        .join(catalog.filter("repeatable").hint("merge"), ["schema_id", "field_id"], "left_semi")
         .select("doc_id", F.concat(F.lit("fields."), "field_id").alias("path"), F.lit("too_big").alias("code"))
     )
     # --- table cells
     cells = columns.select("schema_id", "table_id", "column_id", "value_type", "required")
     present = cell_values.select("doc_id", "schema_id", "table_id", "row_ix").distinct()
-    expected = present.join(cells, ["schema_id", "table_id"])
+    expected = present.join(cells.hint("merge"), ["schema_id", "table_id"])
     given_cells = cell_values.select(
         "doc_id", "schema_id", "table_id", "row_ix", "column_id", "v_str", "v_num", "v_bool",
         F.lit(True).alias("given"),

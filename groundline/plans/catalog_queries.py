@@ -9,6 +9,7 @@ import groundline.plans.form_inputs  # noqa: F401  (adds derived inputs)
 from groundline.operators import catalog as c
 from groundline.operators.audit_results import audit_discovered_result, audit_extraction_result
 from groundline.operators.validate import merge_batches, normalize_values, validate_discovered
+from groundline.plans import inputs
 from groundline.plans import oracle_forms as o
 from groundline.plans.registry import Tables, query
 
@@ -256,6 +257,7 @@ SELECT doc_id, path, code FROM (SELECT * FROM fi UNION ALL SELECT * FROM ci) x W
 
 
 def _discovered_values(t: Tables, submission: bool) -> DataFrame:
+    t = t.by_order(lines=True, at_once=inputs.TEXTS_PER_TASK)
     return validate_discovered(
         t.notice_docs, t.notice_fields, t.notice_options, t.notice_columns, t.raw_field_values, t.raw_cell_values, submission
     )

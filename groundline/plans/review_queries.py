@@ -11,6 +11,7 @@ from groundline.operators.ground_fixed import extraction_result, grounding_warni
 from groundline.operators.validate import validate_discovered
 from groundline.plans.catalog_queries import _discovered_sql
 from groundline.plans.fixed_queries import REVIEWS, reviews
+from groundline.plans import inputs
 from groundline.plans.inputs import INPUTS
 from groundline.plans.registry import Tables, query
 from groundline.streaming import jobs
@@ -173,6 +174,7 @@ SELECT d.doc_id, '{{"documentType":"order_notice","schemaVersion":1,"values":{{"
   CASE WHEN title IS NULL THEN 'order_notice' ELSE 'Order-notice-' || d.doc_id END || '.json' AS file_name
 FROM notice_docs d JOIN j USING (doc_id) LEFT JOIN n USING (doc_id) WHERE d.doc_id NOT IN (SELECT doc_id FROM bad)""")
 def exported_values(t: Tables) -> DataFrame:
+    t = t.by_order(lines=True, at_once=inputs.TEXTS_PER_TASK)
     broken = validate_discovered(
         t.notice_docs, t.notice_fields, t.notice_options, t.notice_columns, t.raw_field_values, t.raw_cell_values, True
     )
