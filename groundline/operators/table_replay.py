@@ -90,24 +90,26 @@ def replay(ops: list[str], places: list[int | None], rows: int) -> list[int]:
 
 
 def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slots and turns of sorted edits, table by table; a row without ``op`` opens a table and tells its rows."""
-    table, tree, turn = None, PlaceTree(0), 0
+    """Slots and turns of sorted edits, table by table; a row without ``op`` opens a table and tells its rows and columns."""
+    table, tree, turn, columns = None, PlaceTree(0), 0, []
     for edits in batches:
-        slots, turns = [], []
+        slots, turns, blanks = [], [], []
         keys = zip(*(edits[name].to_pylist() for name in KEY))
-        for key, op, place in zip(keys, edits["op"].to_pylist(), edits["row_ix"].to_pylist()):
+        for key, op, place, blank in zip(keys, *(edits[name].to_pylist() for name in ("op", "row_ix", "blank"))):
             if key != table:
-                table, tree, turn = key, PlaceTree(place if op is None else 0), 0
+                table, tree, turn, columns = key, PlaceTree(place if op is None else 0), 0, blank or []
             slots.append(-1 if op is None else _slot(tree, op, place))
             turns.append(turn)
+            blanks.append(columns if op == "add_row" else None)
             turn += op is not None
         out = edits.select([*KEY, "op", "column_id", *VALUE])
         out = out.append_column("slot", pa.array(slots, pa.int64()))
         out = out.append_column("turn", pa.array(turns, pa.int64()))
+        out = out.append_column("blank", pa.array(blanks, pa.list_(pa.string())))
         yield out.filter(pc.greater_equal(out["slot"], 0))
 
 
-def apply_table_edits(cells: DataFrame, edits: DataFrame, columns: DataFrame) -> DataFrame:
+def apply_table_edits(cells: DataFrame, edits: DataFrame, columns: DataFrame, tasks: int | None = None) -> DataFrame:
     """Cell, add-row and remove-row edits of every table, in the order of ``seq``.
 
     ``cells`` has ``doc_id, table_id, row_ix, column_id`` and values, ``edits`` ``doc_id, target_id, seq, op,
@@ -115,33 +117,40 @@ def apply_table_edits(cells: DataFrame, edits: DataFrame, columns: DataFrame) ->
     ``doc_id, table_id, row_ix, column_id, v_str, v_num, v_bool``; rows are numbered from 0 without gaps, those of
     tables without edits too. Edits at places without a row, or with a null place, change nothing; a cell set
     without a column id is left out. Of edits with one ``seq`` the smaller operation, place and value come first;
-    of repeated cells the largest value stays. Null ids form a table of their own.
+    of repeated cells the largest value stays. Null ids form a table of their own. All three may have been dealt over
+    ``tasks`` by document; then cells stay where they are, and only the edits that took effect are shuffled.
     """
+    # Bare of the name of its table, the key of a first part tells Spark that a union leaves rows where they were dealt to.
+    cells = cells.withColumn("doc_id", F.col("doc_id").alias("doc_id"))
     value = [F.col("v")[name].alias(name) for name in VALUE]
     rank = F.dense_rank().over(Window.partitionBy(*KEY).orderBy("row_ix")).cast("bigint") - 1
     base = cells.select(*KEY, "row_ix", "column_id", typed(cells).alias("v")).select(
         *KEY, rank.alias("slot"), "column_id", *value, F.lit(-1).cast("bigint").alias("turn"), F.lit(False).alias("gone")
     )
-    unnumbered = F.max(F.col("row_ix").isNull().cast("int"))
-    rows = cells.groupBy(*KEY).agg((F.count_distinct("row_ix") + unnumbered).alias("row_ix"))
+    given = cells.select(*KEY, "row_ix", F.col("row_ix").isNull().alias("unnumbered"), F.lit(None).cast("string").alias("column_id"))
+    rows = given.unionByName(columns.select(
+        *KEY, F.lit(None).cast(cells.schema["row_ix"].dataType).alias("row_ix"), F.lit(False).alias("unnumbered"), "column_id"
+    )).groupBy(*KEY).agg(
+        (F.count_distinct("row_ix") + F.max(F.col("unnumbered").cast("int"))).alias("row_ix"), F.collect_set("column_id").alias("blank")
+    )
     steps = edits.filter(F.col("op").isin("set_cell", "add_row", "remove_row")).select(
         "doc_id", F.col("target_id").alias("table_id"), "seq", "op", F.col("row_ix").cast("bigint").alias("row_ix"),
         "column_id", typed(edits).alias("v"),
     ).select(*KEY, "seq", "op", "row_ix", "column_id", *value)
     # The rows a table has come first, then its edits; NaN before other numbers.
     number = [F.col("v_num").isNotNull(), ~F.isnan("v_num"), "v_num"]
-    sized = steps.unionByName(rows, allowMissingColumns=True).repartition(*KEY).sortWithinPartitions(
-        *KEY, F.col("op").isNotNull(), "seq", "op", "row_ix", "column_id", "v_str", *number, "v_bool"
-    )
+    order = [F.col("op").isNotNull(), "seq", "op", "row_ix", "column_id", "v_str", *number, "v_bool"]
+    # The number brings the rows of a table together, unless they were dealt so, and sorts them.
+    numbered = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))
+    sized = rows.unionByName(steps, allowMissingColumns=True).withColumn("number", numbered).sortWithinPartitions(*KEY, *order)
     kinds = {field.name: field.dataType.simpleString() for field in sized.schema.fields}
-    schema = ", ".join(f"{name} {kinds[name]}" for name in (*KEY, "op", "column_id", *VALUE)) + ", slot long, turn long"
+    schema = ", ".join(f"{name} {kinds[name]}" for name in (*KEY, "op", "column_id", *VALUE)) + ", slot long, turn long, blank array<string>"
     touched = sized.mapInArrow(_replayed, schema)
-    blank = columns.groupBy(*KEY).agg(F.collect_set("column_id").alias("blank"))
-    same = [F.col(f"t.{name}").eqNullSafe(F.col(f"b.{name}")) for name in KEY]
+    touched = touched.repartition(tasks, "doc_id") if tasks else touched
     adds, sets = F.col("op") == "add_row", F.col("op") == "set_cell"
     # An added row is one marker without a column and a blank cell in each column.
     own = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("blank", F.array().cast("array<string>")))
-    met = touched.alias("t").join(blank.alias("b"), same, "left").select("t.*", F.explode(
+    met = touched.select("*", F.explode(
         F.when(adds, own).when(sets, F.array("column_id")).otherwise(F.array(F.lit(None).cast("string")))
     ).alias("column")).filter(~sets | F.col("column").isNotNull())
     changes = met.select(
@@ -149,6 +158,8 @@ def apply_table_edits(cells: DataFrame, edits: DataFrame, columns: DataFrame) ->
         F.when(sets, F.col("turn")).otherwise(-1).alias("turn"), (F.col("op") == "remove_row").alias("gone"),
     )
     every = base.unionByName(changes)
+    # By table at once, as its places are told in one task in the end.
+    every = every if tasks else every.repartition(*KEY)
     latest = every.groupBy(*KEY, "slot", "column_id").agg(
         F.max(F.struct("turn", *VALUE)).alias("latest"), F.max("gone").alias("gone")
     )

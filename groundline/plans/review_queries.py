@@ -74,11 +74,12 @@ SELECT doc_id, 'items' AS table_id, CAST(row_ix AS INT) AS row_ix, column_id,
   CASE WHEN column_id = 'part' AND row_ix IN (0, 1) THEN NULL ELSE v_num END AS v_num, CAST(NULL AS BOOLEAN) AS v_bool
 FROM gone WHERE doc_id IN (SELECT k FROM order_facts)""")
 def table_edits(t: Tables) -> DataFrame:
+    t = t.by_order(lines=True, at_once=inputs.TEXTS_PER_TASK)
     cells = t.notice_cell_values.select("doc_id", "table_id", "row_ix", "column_id", "v_str", "v_num")
     columns = t.notice_columns.filter(F.col("table_id") == "items").select(
         F.col("schema_id").alias("doc_id"), "table_id", "column_id"
     )
-    return rv.apply_table_edits(cells, t.edits, columns)
+    return rv.apply_table_edits(cells, t.edits, columns, t.tasks)
 
 
 @query(r"""WITH l AS (SELECT doc_id, field_id, value_type, list_filter(list_transform(string_split(entry, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM entries),
