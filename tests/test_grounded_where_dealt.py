@@ -23,6 +23,14 @@ def test_nothing_but_orders_is_shuffled(spark, monkeypatch):
     assert reviewed.count() > 0 and reviewed.exceptAll(elsewhere).isEmpty() and elsewhere.exceptAll(reviewed).isEmpty()
 
 
+def test_tables_derived_before_are_dealt_too(spark, monkeypatch):
+    monkeypatch.setattr(inputs, "TEXTS_PER_TASK", 300)
+    t = Tables(spark, DATA)
+    assert t.order_docs.count() > 300
+    plan = q.reviews(t)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 3
+
+
 def test_strange_texts_are_told(spark):
     texts = ["plain", "café Øre", "ﬁne", "fullＡ", "x́", "中", "", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
